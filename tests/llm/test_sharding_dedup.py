@@ -1,0 +1,81 @@
+import hashlib
+import zlib
+
+from sluice.llm.exact_dedup import dedup_decisions, exact_dedup
+from sluice.llm.line_dedup import line_dedup
+from sluice.llm.sharding import shard_documents
+
+DOCS = "doc_id long, text string, lang string, maybe string, doc long"
+
+
+def jump(key, shards):
+    """The published loop, on Python integers."""
+    b, j = -1, 0
+    while j < shards:
+        b = j
+        key = (key * 2862933555777941757 + 1) % 2**64
+        j = int((b + 1) * (2147483648.0 / ((key >> 33) + 1)))
+    return b
+
+
+def some_docs(spark):
+    rows = [(i, f"text {i % 7}" if i % 3 else f"own {i}", "en", "x", 1) for i in range(200)]
+    rows += [(-5, None, None, None, None), (1 << 62, "", "en", "x", 2), (None, "text 1", "en", None, 3), (7, "text 0", "en", "x", 1), (7, "text 0", "en", "x", 1)]
+    rows += [(300, "long " * 200_000, "en", "x", 1)]
+    return spark.createDataFrame(rows, DOCS), rows
+
+
+def test_jump_shards_match_the_published_loop(spark):
+    docs, rows = some_docs(spark)
+    got = shard_documents(docs, 24).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.shard, r.grown_shard) == (jump((r.doc_id or 0) % 2**64, 24), jump((r.doc_id or 0) % 2**64, 25))
+        assert r.grown_shard in (r.shard, 24)
+    for shard in {r.shard for r in got}:
+        slots = sorted(r.slot for r in got if r.shard == shard)
+        assert slots == list(range(len(slots)))
+    sizes = sorted((r.size, r.text_crc32) for r in got)
+    assert sizes == sorted((len((r[1] or "").encode()) + 8, zlib.crc32((r[1] or "").encode())) for r in rows)
+
+
+def test_empty_tables(spark):
+    empty = spark.createDataFrame([], DOCS)
+    assert shard_documents(empty, 3).collect() == []
+    assert dedup_decisions(empty).collect() == []
+    assert exact_dedup(empty).collect() == []
+    assert line_dedup(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_dedup_decisions_match_brute_force(spark):
+    docs, rows = some_docs(spark)
+    got = dedup_decisions(docs).collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault(hashlib.sha256((r[1] or "").encode()).hexdigest(), []).append(r[0])
+    assert len(got) == len(rows)
+    for r in got:
+        members = groups[r.text_sha256]
+        assert (r.keep_id, r.group_size) == (max((m for m in members if m is not None), default=None), len(members))
+    assert sum(r.kept for r in got) == len(groups)
+
+
+def test_exact_dedup_keeps_columns_and_one_row_of_each_text(spark):
+    docs, rows = some_docs(spark)
+    got = exact_dedup(docs)
+    assert got.columns == docs.columns
+    kept = got.collect()
+    assert len(kept) == len({r[1] or "" for r in rows})
+    assert {tuple(r) for r in kept} <= set(rows)
+
+
+def test_line_dedup_drops_only_the_lines_of_the_host(spark):
+    rows = [(i, f"https://a.example/{i}", f"<nav>menu</nav><p>body {i}</p><script>x</script>") for i in range(20)]
+    rows += [(100 + i, f"https://b.example/{i}", f"<p>menu</p><p>other {i}</p>") for i in range(2)]
+    rows += [(200, None, None), (201, "no address", "<p>menu<br>x</p>")]
+    got = {r.page_id: r for r in line_dedup(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i].clean_text == f"body {i}" and got[i].n_dropped == 1 for i in range(20))
+    assert got[100].clean_text == "menu\nother 0"
+    assert (got[200].host, got[200].clean_text, got[200].n_lines) == ("", "", 0)
+    assert got[201].clean_text == "menu\nx"
