@@ -38,10 +38,10 @@ def html_lines(html: Column) -> Column:
 
 
 def drop_boilerplate_lines(
-    pages: DataFrame, *, group: Column, lines: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES
+    pages: DataFrame, *, group: Column, lines: Column, keep: list[str] | None = None, ratio: float = RATIO, min_pages: int = MIN_PAGES
 ) -> DataFrame:
-    """pages with host, n_lines, n_dropped and clean_text (the remaining lines)."""
-    columns = pages.columns
+    """The columns `keep` of pages (by default all) with host, n_lines, n_dropped and clean_text (the remaining lines)."""
+    columns = pages.columns if keep is None else keep
     rows = materialize(
         pages.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(columns)], group.alias("_host"), lines.alias("_lines"), F.monotonically_increasing_id().alias("_row")), "lines"
     )
@@ -79,5 +79,5 @@ def drop_boilerplate_lines(
     )
 
 
-def line_dedup(pages: DataFrame, *, url: str = "url", html: str = "html", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    return drop_boilerplate_lines(pages, group=host_of(F.col(url)), lines=html_lines(F.col(html)), ratio=ratio, min_pages=min_pages)
+def line_dedup(pages: DataFrame, *, url: str = "url", html: str = "html", keep: list[str] | None = None, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+    return drop_boilerplate_lines(pages, group=host_of(F.col(url)), lines=html_lines(F.col(html)), keep=keep, ratio=ratio, min_pages=min_pages)

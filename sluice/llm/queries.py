@@ -39,8 +39,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return line_dedup(pages).select("page_id", "host", "n_lines", "n_dropped", F.sha2("clean_text", 256).alias("text_sha256"))
+    return line_dedup(table(spark, sf_dir, "pages"), keep=["page_id"]).select("page_id", "host", "n_lines", "n_dropped", F.sha2("clean_text", 256).alias("text_sha256"))
 
 
 QUERIES = {
