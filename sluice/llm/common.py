@@ -42,3 +42,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def join_to_groups(rows: DataFrame, groups: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with one row of groups for each key, though one key may hold most rows.
+
+    The key is wrapped, so both sides shuffle for this join alone, and adaptive execution may split a hot key.
+    """
+    left = rows.withColumn("_key", F.struct(key))
+    right = groups.withColumn("_key", F.struct(key)).drop(key)
+    return left.join(right.hint("merge"), "_key", how).drop("_key")

@@ -9,10 +9,19 @@ from pyspark.sql import functions as F
 from .bpe import bpe_digests
 from .common import table
 from .exact_dedup import dedup_decisions
+from .labelled import fold
 from .line_dedup import BLOCKS, MIN_PAGES, RATIO, line_dedup
+from .near_dedup import near_classes
 from .packing import pack_documents
+from .quality import fit_quality, score_quality
 from .sharding import shard_documents
 from .token_files import token_file_round_trip
+from .toxicity import fit_toxicity, score_toxicity
+from .vectors import nearest
+
+
+def op1_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +39,28 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(docs, vocabulary=public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
 
 
+def op5_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
+def _scores(scored: DataFrame, folds: int, held: int) -> DataFrame:
+    return scored.select(
+        "doc.doc_id", (fold(F.col("doc.doc_id"), folds) == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
+    return _scores(score_toxicity(docs, model), 5, 0)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
+    return _scores(score_quality(docs, model), 3, 1)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_decisions(table(spark, sf_dir, "documents"))
 
@@ -43,9 +74,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_inverted_multi_index": op1_inverted_multi_index,
     "op2_sharding": op2_sharding,
     "op3_token_files": op3_token_files,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_prob_minhash": op5_prob_minhash,
+    "op6_toxicity": op6_toxicity,
+    "op7_quality": op7_quality,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_line_dedup": op10_line_dedup,

@@ -1,0 +1,77 @@
+import random
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from sluice.llm.labelled import fold
+from sluice.llm.quality import dual_coordinate_descent, fit_quality, score_quality, shape_of
+from sluice.llm.toxicity import LEXICONS, fit_toxicity, label_model, score_toxicity
+
+WORDS = ["of", "the", "tion", "anst", "erre", "lyou", "heth", "nder", "blea", "shor"]
+
+
+def corpus(spark, n=900):
+    rng = random.Random(1)
+    rows, labels = [], []
+    for i in range(n):
+        words = rng.choices(WORDS, k=rng.randint(5, 80))
+        toxic, good = rng.random() < 0.2, rng.random() < 0.7
+        if toxic:  # English words of the lexicon, or stems that only the labels can teach
+            for _ in range(3):
+                words.insert(rng.randrange(len(words)), rng.choice(["idiot", "moron,", "Scum"]) if i % 2 else "zrgl" + rng.choice(WORDS))
+        if not good:
+            words = [w + "###" for w in words] if i % 2 else [w.upper() + "!!" for w in words]
+        rows.append((i, " ".join(words), "x"))
+        labels.append((i, int(good), int(toxic)))
+    rows += [(5000, None, None), (5001, "", "x"), (5002, "word " * 100_000, "x"), (None, "no key", "x"), (3, "again", "x")]
+    return spark.createDataFrame(rows, "doc_id long, text string, score string"), spark.createDataFrame(labels + [(None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+
+
+def accuracy(scored, labels, label, held):
+    rows = scored.select("doc.doc_id", "score").join(labels.where(held), "doc_id").collect()
+    assert len(rows) > 100
+    return np.mean([(r.score >= 0.5) == (r[label] == 1) for r in rows])
+
+
+def test_quality_held_out(spark):
+    docs, labels = corpus(spark)
+    model = fit_quality(docs, labels, fold("doc_id", 3) != 1)
+    scored = score_quality(docs, model)
+    assert scored.count() == docs.count() and scored.where("not (score between 0 and 1)").count() == 0
+    assert scored.select("doc.*").columns == docs.columns
+    assert accuracy(scored, labels, "quality", fold("doc_id", 3) == 1) > 0.98
+    assert {r.score for r in score_quality(docs, fit_quality(docs, labels.limit(0), F.lit(True))).collect()} == {0.5}
+    assert score_quality(docs.limit(0), model).collect() == []
+
+
+def test_toxicity_held_out(spark):
+    docs, labels = corpus(spark)
+    model = fit_toxicity(docs, labels, fold("doc_id", 5) != 0)
+    scored = score_toxicity(docs, model)
+    assert scored.count() == docs.count() and scored.where("not (score between 0 and 1)").count() == 0
+    assert accuracy(scored, labels, "toxic", fold("doc_id", 5) == 0) > 0.98
+    assert score_toxicity(docs.limit(0), model).collect() == []
+    none = score_toxicity(docs, fit_toxicity(docs, labels.limit(0), F.lit(True)))
+    assert max(r.score for r in none.collect()) < 1e-9
+
+
+def test_label_model_finds_accuracies_and_discounts_correlated_voters():
+    rng = np.random.default_rng(0)
+    truth = rng.random(4000) < 0.3
+    votes = np.stack([np.where(truth, rng.random(4000) < a, rng.random(4000) < b) for a, b in ((0.8, 0.05), (0.7, 0.1), (0.6, 0.02), (0.5, 0.3))], axis=1)
+    votes = np.column_stack([votes, votes[:, 3], votes[:, 3]])  # one voter three times
+    p, rate, weight = label_model(votes, np.where(votes[:, :3].sum(axis=1) > 1, 0.9, 0.1))
+    assert ((p > 0.5) == truth).mean() > 0.9
+    assert abs(rate[1, 0] - 0.8) < 0.06 and abs(rate[0, 0] - 0.05) < 0.05
+    assert weight[3:].max() < 0.4 < weight[:3].min()
+    assert all(words.islower() for words in LEXICONS.values())
+
+
+def test_dual_coordinate_descent_separates():
+    rows = [np.array([0, 2]), np.array([0]), np.array([1, 2]), np.array([1])]
+    w, bias = dual_coordinate_descent(rows, np.ones(3), np.array([1, 1, -1, -1]), 10.0, 100)
+    assert all(s * (w[r].sum() + bias) > 0.99 for r, s in zip(rows, (1, 1, -1, -1)))
+
+
+def test_shapes():
+    assert [shape_of(s) for s in ("word", "Word.", "NOISE!!", "a###", "12:30", "|", "iPhone5")] == ["a", "A.", "U!", "a#", "9:9", "|", "a9"]
