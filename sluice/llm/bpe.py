@@ -18,7 +18,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from .common import text_or_empty
 from .tokens import slices
 
 LOAD = 4  # keys to a bucket
-MEMO = 250_000
+MEMO = 800_000
 MASK = (1 << 64) - 1
 STEP = 0x9E3779B97F4A7C15
 
@@ -129,8 +129,8 @@ class ByteBPE:
             piece = word.encode("utf-8", "surrogatepass")
             token, rank = self.slots[self.perfect(piece)]
             known = (rank,) if token == piece else self.merge(piece)
-            if len(self.words) >= self.limit:
-                self.words.clear()
+            if len(self.words) >= self.limit:  # what came first is mostly what comes often
+                self.words = dict(islice(self.words.items(), self.limit // 2))
             if len(word) < 200:
                 self.words[word] = known
         return known
@@ -146,7 +146,7 @@ class ByteBPE:
             if ids is None:
                 ids = self._chunk(" " + p)
                 if len(memo) >= self.limit:
-                    memo.clear()
+                    self.memo = memo = dict(islice(memo.items(), self.limit // 2))
                 if len(p) < 200:
                     memo[p] = ids
             out.append(ids)

@@ -230,7 +230,7 @@ def read_token_files(spark: SparkSession, path: str, key: str = "doc_id") -> Dat
                     )
 
     files = read_manifest(spark, path)
-    return files.repartition(F.col("file")).mapInArrow(read, f"`{key}` long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(max(1, files.count()), "file").mapInArrow(read, f"`{key}` long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_file_round_trip(docs: DataFrame, *, vocabulary: str, joined: bool, end_id: int) -> DataFrame:
