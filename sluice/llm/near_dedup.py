@@ -131,7 +131,7 @@ def _across_classes(members: DataFrame, centers: DataFrame, profiles: DataFrame,
 
 
 def near_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, class_id (the least key of the class), class_size, representative (whether this row is the one to keep)."""
+    """key, class_id (the least key of the class), class_size, representative (whether this row is the one to keep), text_id."""
     base = docs.select(F.col(key).cast("bigint").alias("key"), text_or_empty(text).alias("text"), text_id(text).alias("node"))
     keyed = materialize(base.mapInArrow(_band_keys, "key long, node binary, bands array<long>").withColumn("row", F.monotonically_increasing_id()), "bands")
     nodes = keyed.groupBy("node").agg(F.any_value("bands").alias("bands")).where("bands is not null")
@@ -151,10 +151,11 @@ def near_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     named = keyed.select("key", "node", "row").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     groups = named.groupBy("class").agg(F.min("key").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.min(F.struct(F.col("key").isNull(), "key", "row")).alias("first"))
     out = join_to_groups(named, groups, "class")
-    return out.select(F.col("key").alias(key), "class_id", "class_size", (F.col("row") == F.col("first.row")).alias("representative"))
+    return out.select(F.col("key").alias(key), "class_id", "class_size", (F.col("row") == F.col("first.row")).alias("representative"), F.col("node").alias("text_id"))
 
 
 def near_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without all but the representative of each class."""
-    kept = near_classes(docs, key=key, text=text).where("representative").select(F.col(key).alias("_kept"))
-    return docs.join(kept, docs[key].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates([key])
+    """docs without all but the representative of each class; of rows that repeat both key and text one stays."""
+    kept = near_classes(docs, key=key, text=text).where("representative").select(F.col(key).alias("_kept"), F.col("text_id").alias("_node"))
+    same = F.col(key).cast("bigint").eqNullSafe(F.col("_kept")) & (text_id(text) == F.col("_node"))
+    return docs.join(kept, same, "left_semi").dropDuplicates([key, text])

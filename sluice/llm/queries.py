@@ -40,7 +40,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_classes(table(spark, sf_dir, "documents"))
+    return near_classes(table(spark, sf_dir, "documents")).drop("text_id")
 
 
 def _scores(scored: DataFrame, folds: int, held: int) -> DataFrame:
