@@ -1,7 +1,7 @@
 """Payload codecs: delimited changes, JSON, Avro records, Protobuf messages and registry framing.
 
-CSV and JSON stay in built-in functions. Avro and Protobuf use Spark's connector functions where their jars are present;
-without jars, Arrow-batched Pandas UDFs decode the same wire formats to the same structs.
+CSV and JSON stay in built-in functions. Avro and Protobuf are decoded by Arrow-batched Pandas UDFs to the structs that Spark's
+connector functions give, so they need no jars; where the jars are present those functions can stand in their place.
 """
 
 from __future__ import annotations
@@ -230,12 +230,12 @@ def from_protobuf(value: Column, descriptors: bytes, message: str = "Employee",
                     raise
                 rows.append((None,) * 7)
                 continue
-            stamp = pd.Timestamp(m.start_date.seconds * 1_000_000_000 + m.start_date.nanos, unit="ns") if m.HasField("start_date") else pd.NaT
+            stamp = pd.Timestamp(m.start_date.seconds * 1_000_000_000 + m.start_date.nanos, unit="ns", tz="UTC") if m.HasField("start_date") else pd.NaT
             age = {"value": m.employee_age.value} if m.HasField("employee_age") else None
             team = {"name": m.team.name, "location": m.team.location} if m.HasField("team") else None
             rows.append((m.id, m.name, m.address, age, stamp, team, roles[m.role].name if m.role in roles else str(m.role)))
         frame = pd.DataFrame(rows, columns=["id", "name", "address", "employee_age", "start_date", "team", "role"], dtype=object)
-        return frame.astype({"id": "Int32", "start_date": "datetime64[ns]"})
+        return frame.astype({"id": "Int32", "start_date": "datetime64[ns, UTC]"})
 
     return decode(value)
 

@@ -13,38 +13,43 @@ from pyspark.sql import DataFrame
 from ..sources.snapshot_table import CommitConflict, SnapshotTable
 
 log = logging.getLogger(__name__)
+RESULT = "rewritten_parts int, added_parts int, failed_groups int"
 
 
-def rewrite_data_files(table: SnapshotTable, sort_by: list[str] | None = None, where: Callable[[dict], bool] = lambda values: True, max_commits: int = 10, min_parts: int = 2) -> DataFrame:
-    """Rewrites partitions of several parts as one sorted part each; the rows stay the same.
+#: Bytes of a rewritten file.
+TARGET_BYTES = 273_741_824
 
-    Partitions with fewest parts go first, in at most max_commits commits, so a conflict loses one of them only. Tables with
+
+def rewrite_data_files(table: SnapshotTable, sort_by: list[str] | None = None, where: Callable[[dict], bool] = lambda values: True, max_commits: int = 10, min_parts: int = 2, target_bytes: int = TARGET_BYTES) -> DataFrame:
+    """Rewrites partitions of several parts as one sorted part each, in files of about target_bytes; the rows stay the same.
+
+    Small partitions go first, in at most max_commits commits, so a conflict loses one of them only. Tables with
     delete parts are compacted whole, with the deletes applied.
     """
     deletes = table.parts(kind="delete")
+    if deletes:
+        base = table.current_snapshot_id()
+        old = table.parts(base) + deletes
+        table.replace(old, table.scan(base), "replace", sort_by, files=max(1, -(-table.bytes_of(old) // target_bytes)), base=base, check_base=True)
+        return table.spark.createDataFrame([(len(old), len(table.parts()), 0)], RESULT)
     groups: dict[str, list[dict]] = defaultdict(list)
     for p in table.parts(where=where):
         groups[p["partition"]].append(p)
-    work = sorted((g for g in groups.values() if len(g) >= min_parts), key=len)
+    work = sorted(((table.bytes_of(g), g) for g in groups.values() if len(g) >= min_parts), key=lambda x: x[0])
     before = after = failed = 0
-    if deletes:
-        old = table.parts() + deletes
-        table.replace(old, table.scan(), "replace", sort_by)
-        before, after = len(old), len(table.parts())
-    else:
-        size = max(1, -(-len(work) // max_commits))
-        for i in range(0, len(work), size):
-            old = [p for g in work[i : i + size] for p in g]
-            live = len(table.parts())
-            try:
-                table.replace(old, table.read_parts(old), "replace", sort_by)
-            except CommitConflict:
-                failed += 1
-                log.warning("a group of partitions has changed; left for the next run")
-                continue
-            before += len(old)
-            after += len(table.parts()) - live + len(old)
-    return table.spark.createDataFrame([(before, after, failed)], "rewritten_parts int, added_parts int, failed_groups int")
+    step = max(1, -(-len(work) // max_commits))
+    for i in range(0, len(work), step):
+        old = [p for _, g in work[i : i + step] for p in g]
+        size = sum(n for n, _ in work[i : i + step])
+        try:
+            done = table.replace(old, table.read_parts(old), "replace", sort_by, files=max(1, -(-size // target_bytes)))
+        except CommitConflict:
+            failed += 1
+            log.warning("a group of partitions has changed; left for the next run")
+            continue
+        before += len(old)
+        after += sum(p["seq"] == done for p in table.parts(done))
+    return table.spark.createDataFrame([(before, after, failed)], RESULT)
 
 
 def due(batch_id: int, every: int) -> bool:

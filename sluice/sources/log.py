@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..schemas import LOG_ROW
 
 
-def append_messages(rows: DataFrame, path: str, *, topic: str, value: Column, key: Column | None = None, partitions: int = 8, timestamp: Column | None = None) -> None:
-    """Appends one message a row. Offsets are unique and ascending within a partition, though not dense."""
-    number = F.monotonically_increasing_id()
+def append_messages(rows: DataFrame, path: str, *, topic: str, value: Column, key: Column | None = None, partitions: int = 8, timestamp: Column | None = None, first_offset: int = 0) -> None:
+    """Appends one message a row. Offsets start at first_offset, unique and ascending within one append, though not dense."""
+    number = F.monotonically_increasing_id() + F.lit(first_offset)
     stamp = timestamp if timestamp is not None else F.current_timestamp()
     rows.select(
         (key if key is not None else F.lit(None)).cast("binary").alias("key"),
