@@ -133,10 +133,12 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30) -> tuple
 
 def z_scores(rows: list[np.ndarray], p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features in SUPPORT rows or more, the share of label 1 among their rows, and its standard errors above the mean."""
-    flat = np.concatenate(rows)
-    feature, place = np.unique(flat, return_inverse=True)
-    n = np.bincount(place)
-    ones = np.bincount(place, weights=np.repeat(p, [len(r) for r in rows]))
+    n, ones = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS)  # a fixed size, whatever the rows hold
+    for r, q in zip(rows, p, strict=True):  # the features of a row are distinct
+        n[r] += 1
+        ones[r] += q
+    feature = np.flatnonzero(n)
+    n, ones = n[feature], ones[feature]
     keep = n >= SUPPORT
     mean = p.mean()
     error = np.sqrt(max(mean * (1 - mean), 1e-6) / n[keep])
