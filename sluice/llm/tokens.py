@@ -27,7 +27,7 @@ import pyarrow as pa
 MEMO = 1_000_000
 #: Characters of text encoded together.
 SLICE_CHARS = 1_000_000
-RUN = re.compile(r"\s (?=\s|\Z)")
+RUN = re.compile(r" (?=\s|\Z)(?<=\s )")  # starts with the space, which regular expressions find fastest
 
 
 class ChunkEncoder:
@@ -65,7 +65,7 @@ class ChunkEncoder:
         wanted = set().union(*parts)
         if len(self.memo) + len(wanted) > self.limit:  # what came first is mostly what comes often
             self.memo = dict(islice(self.memo.items(), self.limit // 2))
-        self.learn([k for k in wanted if k not in self.memo])
+        self.learn(list(wanted.difference(self.memo)))
         get = self.memo.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
