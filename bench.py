@@ -1,20 +1,21 @@
 """Times the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS] and prints one JSON line.
 
 Rates are measured on generated messages: rows a second of decoding alone, appending, watermark dedup, insert-only merge,
-mirror merge and compaction. BENCH_ROWS sets how many (1,000,000 unless set).
+mirror merge and compaction. BENCH_ROWS sets how many (200,000 unless set).
 """
 
 from __future__ import annotations
 
 import json
 import os
+import sys
 import tempfile
 import time
 from datetime import datetime
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-ROWS = int(os.environ.get("BENCH_ROWS", 1_000_000))
+ROWS = int(os.environ.get("BENCH_ROWS", 200_000))
 HEADLINE = [
     "cdc_latest_change", "cdc_mirror_merge", "cow_merge", "mor_merge", "incremental_mirror", "cdc_parse_csv", "merge_insert_only", "affected_partitions", "partition_overwrite_dedup",
     "incremental_append", "rewrite_data_files", "bulk_append", "stream_dedup", "stream_merge", "stream_append", "proto_flatten", "avro_flatten", "json_decode", "orders_latest_status", "partition_transforms",
@@ -40,6 +41,7 @@ def rates(spark, folder: str) -> dict[str, float]:
         began = time.time()
         job()
         out[name] = round(ROWS / (time.time() - began))
+        print(name, out[name], "rows a second", file=sys.stderr, flush=True)
 
     log = f"{folder}/log"
     append_messages(employees(spark, ROWS, now), log, topic="employees", value=proto_value())
@@ -70,6 +72,7 @@ def main() -> None:
         began = time.time()
         QUERIES[name](spark, SF_DIR).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.time() - began, 3)
+        print(name, seconds[name], file=sys.stderr, flush=True)
     measured = rates(spark, tempfile.mkdtemp(prefix="spark-bench-"))
     line = {"metric": "headline_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf")}
     print(json.dumps(line | {"cores": int(CPUS), "rows": ROWS, "rows_per_sec": measured}))
