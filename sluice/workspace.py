@@ -18,7 +18,26 @@ def _local() -> str:
     return tempfile.mkdtemp(prefix="sluice-")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, else the checkpoint folder of the context.
+
+    Without either, a session on this machine alone (tests) gets a temporary folder; a cluster has to name one.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not base:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = _local()
+    return base.rstrip("/")
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; only a session without that setting (local tests) gets a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _local()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Spark can write to."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
