@@ -1,35 +1,13 @@
-"""What the training-data operators share: table access, shared storage, small column helpers."""
+"""What the training-data operators share: table access, intermediate tables in shared storage, small column helpers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..workspace import fresh_path, remove, shared_dir, table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Only a session without that setting (local tests) gets a temporary folder of this machine.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(shared_dir, "local", None) or tempfile.mkdtemp(prefix="sluice-")
-        shared_dir.local = base
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["discard", "fresh_path", "join_to_groups", "materialize", "shared_dir", "table", "text_or_empty"]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -37,7 +15,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._sluice_path = path
+    return written
+
+
+def discard(*written: DataFrame) -> None:
+    """Deletes the folders of materialized tables that nothing will read any more."""
+    for df in written:
+        remove(df.sparkSession, df._sluice_path)
 
 
 def text_or_empty(column: str = "text") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_to_groups, materialize
+from .common import discard, join_to_groups, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -20,17 +20,26 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(links: DataFrame, a: str, b: str, max_rounds: int = 40) -> DataFrame:
-    """node, class: for every node of the links the least node of its component. Any orderable type will do."""
+def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
+    """node, class: for every node of the links the least node of its component. Any orderable type will do.
+
+    Ends when a round changes nothing, which the method reaches after a number of rounds of the order of log2(edges) squared.
+    The edges of a round are deleted once the next are written.
+    """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
     edges = materialize(edges, "edges")
-    for _ in range(max_rounds):
+    state = _state(edges)
+    while True:
         after = materialize(_star(_star(edges, large=True), large=False), "edges")
-        seen = [d.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first() for d in (edges, after)]
-        edges = after
-        if seen[0] == seen[1]:
+        discard(edges)
+        edges, before, state = after, state, _state(after)
+        if state == before:
             break
-    else:
-        raise RuntimeError("components did not settle")
     roots = edges.select(F.col("v").alias("node")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("class")).unionByName(roots.select("node", F.col("node").alias("class")))
+    classes = materialize(edges.select(F.col("u").alias("node"), F.col("v").alias("class")).unionByName(roots.select("node", F.col("node").alias("class"))), "classes")
+    discard(edges)
+    return classes
+
+
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())

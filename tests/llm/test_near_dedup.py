@@ -3,6 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from sluice.llm import near_dedup as near_dedup_module
 from sluice.llm.components import connected_components
 from sluice.llm.near_dedup import near_classes, near_dedup
 from sluice.llm.prob_minhash import Shingler, signatures, similarity
@@ -54,12 +55,10 @@ def test_components(spark):
     assert connected_components(links.limit(0), "a", "b").collect() == []
 
 
-def test_near_classes_match_brute_force(spark):
-    texts = corpus()
-    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(None, texts[0], None), (500, None, None), (3, texts[3], "x")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, node string")
+def brute_force(rows):
+    """The classes, by the definition: lists of row numbers."""
     shingler = Shingler()
-    shingles = [shingler(t or "") for _, t, _ in rows]
+    shingles = [shingler(t or "") for _, t, *_ in rows]
     root = list(range(len(rows)))
 
     def find(i):
@@ -75,13 +74,55 @@ def test_near_classes_match_brute_force(spark):
                 root[b] = a
     groups = {}
     for i in range(len(rows)):
-        groups.setdefault(find(i), []).append(rows[i][0])
-    want = sorted(repr((k, min((x for x in g if x is not None), default=None), len(g))) for g in groups.values() for k in g)
+        groups.setdefault(find(i), []).append(i)
+    return list(groups.values())
+
+
+def check(docs, rows):
+    groups = brute_force(rows)
+    ids = [[rows[i][0] for i in g] for g in groups]
+    want = sorted(repr((k, min((x for x in g if x is not None), default=None), len(g))) for g in ids for k in g)
     got = near_classes(docs).collect()
     assert sorted(repr((r.doc_id, r.class_id, r.class_size)) for r in got) == want
     assert sum(r.representative for r in got) == len(groups)
-    assert max(map(len, groups.values())) > 30
     kept = near_dedup(docs)
     assert kept.columns == docs.columns and kept.count() == len(groups)
+    return groups
+
+
+def test_near_classes_match_brute_force(spark):
+    texts = corpus()
+    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(None, texts[0], None), (500, None, None), (3, texts[3], "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    assert max(map(len, check(docs, rows))) > 30
     assert near_classes(docs.limit(0)).collect() == []
     assert near_dedup(docs.where(F.lit(False))).collect() == []
+
+
+def test_blocks_smaller_than_a_group(spark, monkeypatch):
+    """Half of all rows are edited copies of one text, many of them too far from its centre; no link may be lost between blocks."""
+    monkeypatch.setattr(near_dedup_module, "BLOCK", 16)
+    rng = random.Random(7)
+    base = rng.choices(WORDS, k=120)
+    texts = [" ".join(rng.choices(WORDS, k=rng.randint(5, 200))) for _ in range(120)]
+    for _ in range(120):
+        copy = list(base)
+        for _ in range(rng.randint(0, 9)):
+            copy[rng.randrange(len(copy))] = rng.choice(WORDS)
+        texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    check(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+
+
+def test_null_and_empty_text_under_one_key_are_one_row(spark):
+    rows = [(3, None), (3, ""), (4, "a b c d e f"), (4, "a b c d e f"), (None, "x"), (None, "x")]
+    got = near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(repr((r.doc_id, r.text or "")) for r in got) == sorted(map(repr, [(3, ""), (4, "a b c d e f"), (None, "x")]))
+
+
+def test_other_columns_may_have_any_name_and_type(spark):
+    names = "doc_id long, text string, _kept int, _node string, id int, doc int, key int, node int, m map<string,int>"
+    rows = [(1, "a b c d e f g", 1, "x", 2, 3, 4, 5, {"a": 1}), (2, "a b c d e f g", 1, "y", 2, 3, 4, 5, None)]
+    docs = spark.createDataFrame(rows, names)
+    got = near_dedup(docs)
+    assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [rows[0]]
