@@ -163,6 +163,9 @@ class Reader:
 
 
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
+    """The store of a file or folder. Hadoop's names of S3 mean the same objects as the library's own; hdfs needs libhdfs on the workers."""
+    for name in ("s3a://", "s3n://"):
+        uri = uri.replace(name, "s3://", 1) if uri.startswith(name) else uri
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
@@ -188,7 +191,8 @@ def write_token_files(docs: DataFrame, path: str, *, vocabulary: str, joined: bo
             yield pa.RecordBatch.from_pydict({"file": [part], "uri": [f"{path}/files/{name}"], "documents": [n_docs], "tokens": [n]})
 
     rows = docs.select(F.col(key).cast("bigint").alias("key"), text_or_empty(text).alias("text"))
-    ordered = rows.repartitionByRange("key").sortWithinPartitions("key")
+    tie = F.xxhash64("text")  # many rows may share a key, or have none
+    ordered = rows.repartitionByRange("key", tie).sortWithinPartitions("key", tie)
     manifest = ordered.mapInArrow(write, "file long, uri string, documents long, tokens long")
     manifest.write.parquet(f"{path}/manifest")
     return read_manifest(spark, path)
@@ -230,7 +234,7 @@ def read_token_files(spark: SparkSession, path: str, key: str = "doc_id") -> Dat
                     )
 
     files = read_manifest(spark, path)
-    return files.repartition(max(1, files.count()), "file").mapInArrow(read, f"`{key}` long, start long, n_tokens long, ids_crc32 long")
+    return files.repartitionByRange(max(1, files.count()), "file").mapInArrow(read, f"`{key}` long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_file_round_trip(docs: DataFrame, *, vocabulary: str, joined: bool, end_id: int) -> DataFrame:

@@ -21,7 +21,6 @@ TEXTS = ["", " ", "a  b", "a \n b\n \nc ", "It's ÉTÉ über\n\nNaïve", "x\t y
 
 def plain(path):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -32,7 +31,8 @@ def test_chunks_encode_as_whole_texts():
             assert np.frombuffer(mine.encode([text or ""])[0], "<u4").tolist() == whole(text or ""), (path, text)
 
 
-SPACES = st.text(st.sampled_from(list(" \n\t\r  \x1c\x85abZé1.,'ś")), max_size=30)
+ADDED = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>"]
+SPACES = st.lists(st.sampled_from([*" \n\t\r  \x1c\x85abZé1.,'ś", *ADDED]), max_size=30).map("".join)
 BYTE_ENCODER, BYTE_PLAIN = ChunkEncoder(BYTE, True), plain(BYTE)
 WORD_ENCODER, WORD_PLAIN = ChunkEncoder(WORD, False), plain(WORD)
 RANKS = load_ranks(MULTI)
@@ -58,6 +58,11 @@ def test_bpe_matches_tiktoken_on_any_text(text):
     assert BPE.decode(ids) == text.encode()
 
 
+def test_added_tokens_in_a_text_are_the_librarys():
+    word, byte = (np.frombuffer(e.encode(["a <|endoftext|> b"])[0], "<u4").tolist() for e in (WORD_ENCODER, BYTE_ENCODER))
+    assert word == [320, 49407, 321] and byte == [64, 220, 50256, 275]
+
+
 def test_perfect_hash_is_minimal():
     h = PerfectHash.build(RANKS)
     assert sorted(map(h, RANKS)) == list(range(len(RANKS)))
