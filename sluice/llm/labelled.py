@@ -1,27 +1,68 @@
-"""Labelled rows for the classifiers: which may be learned from, and a bounded sample of them."""
+"""Labelled rows for the classifiers: which may be learned from, a bounded sample of them, and scoring of texts."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from .common import discard, materialize, text_or_empty
+from .tokens import slices
+
+#: Bytes of features that the driver takes to fit a classifier.
+FIT_BYTES = 64 << 20
+
 
 def fold(key: str | Column, folds: int) -> Column:
     """crc32 of the key as text, modulo folds; a null key counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(key) if isinstance(key, str) else key, F.lit(0)).cast("string").cast("binary")) % folds
+    return F.crc32(F.coalesce((F.col(key) if isinstance(key, str) else key).cast("string"), F.lit("")).cast("binary")) % folds
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: int, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """text, label of at most `rows` labelled documents, the ones with the least hashes of their keys.
+    """order, text, label of the labelled documents with the least hashes of their keys, of `rows` keys.
 
     `usable` is a condition on column `key` of labels. The keys are at most `rows`, so they are broadcast.
     """
     chosen = (
         labels.where(usable & F.col(key).isNotNull() & F.col(label).isin(0, 1))
-        .groupBy(key)
-        .agg(F.max(label).alias("label"))
-        .orderBy(F.xxhash64(key), key)
+        .groupBy(F.col(key).alias("_key"))
+        .agg(F.max(label).cast("int").alias("label"))
+        .orderBy(F.xxhash64("_key"), "_key")
         .limit(rows)
     )
-    texts = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), F.col("_key") == F.col(key)).select("text", F.col("label").cast("int").alias("label"))
+    texts = docs.select(F.col(key).alias("_key"), text_or_empty(text).alias("text"))
+    return texts.join(F.broadcast(chosen), "_key").select(F.xxhash64("_key", "text").alias("order"), "text", "label")
+
+
+def sample_features(
+    sample: DataFrame, features: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], columns: str, rows: int, max_bytes: int = FIT_BYTES
+) -> list[Row]:
+    """The features of the sample, made in one parallel job: the rows of least order, at most `rows` and `max_bytes` of them.
+
+    features: gives the columns `order`, `label` and `data`, whose bytes count, and any others. Rows of equal order are equal, so any will do.
+    """
+    made = materialize(sample.mapInArrow(features, columns), "features")
+    held = n = 0
+    for r in made.select("order", F.length("data").alias("size")).orderBy("order").limit(rows).collect():
+        held += r["size"]
+        if n and held > max_bytes:
+            break
+        n += 1
+    found = made.orderBy("order").limit(n).collect()
+    discard(made)
+    return found
+
+
+def score_texts(docs: DataFrame, scorer: Callable[[], Callable[[str], float]], *, text: str = "text") -> DataFrame:
+    """docs, packed as struct `doc`, with score. Only the texts go to Python; a scorer is made once a task."""
+
+    @F.arrow_udf("double")
+    def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        one = scorer()
+        for column in columns:
+            batch = pa.RecordBatch.from_arrays([column], names=["text"])
+            yield pa.array([one(t) for _, texts in slices([batch]) for t in texts], pa.float64())
+
+    return docs.select(F.struct(*docs.columns).alias("doc"), score.asNondeterministic()(text_or_empty(text)).alias("score"))

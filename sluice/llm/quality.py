@@ -5,8 +5,8 @@ letter cases, digits and punctuation, or '=' if it repeats the chunk before it.
 by its log-count ratio between the classes, a linear hinge-loss model is fitted by dual coordinate descent, and its weights are
 interpolated with their mean magnitude. The score is the logistic function of the margin.
 
-The model is fitted on at most `fit_rows` labelled documents (a documented bound); all documents are scored, whole, where they
-lie. The weights are one number for each of BUCKETS hash buckets.
+The model is fitted on at most `fit_rows` labelled documents and FIT_BYTES of their n-grams (documented bounds); all documents are
+scored, whole, where they lie. The weights are one number for each of BUCKETS hash buckets.
 
 Defined cases: null and empty texts have no n-gram and get the score of the bias; without labels of both classes every text
 gets the share of label 1 (0.5 without any label); repeated rows are each scored; an empty table gives an empty result.
@@ -22,11 +22,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import text_or_empty
-from .labelled import labelled_sample
+from .labelled import labelled_sample, sample_features, score_texts
 from .tokens import slices
 
 BUCKETS = 1 << 18
@@ -130,26 +127,23 @@ def fit_nbsvm(rows: list[np.ndarray], label: np.ndarray, *, c: float = 1.0, smoo
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, usable, *, label: str = "quality", fit_rows: int = FIT_ROWS, key: str = "doc_id", text: str = "text") -> LinearModel:
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = NGrams()
         for rows, texts in slices(batches):
             data = [np.array(sorted(grams(t)), "<i4").tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays([rows.column("label"), pa.array(data, pa.binary())], names=["label", "grams"])
+            yield pa.RecordBatch.from_arrays([rows.column("order"), rows.column("label"), pa.array(data, pa.binary())], names=["order", "label", "data"])
 
     sample = labelled_sample(docs, labels, label, usable, fit_rows, key=key, text=text)
-    found = sorted((bytes(r.grams), r.label) for r in sample.mapInArrow(run, "label int, grams binary").toLocalIterator())
-    return fit_nbsvm([np.frombuffer(g, "<i4").astype(np.int64) for g, _ in found], np.array([y for _, y in found]))
+    found = sample_features(sample, features, "order long, label int, data binary", fit_rows)
+    return fit_nbsvm([np.frombuffer(r.data, "<i4").astype(np.int64) for r in found], np.array([r.label for r in found]))
 
 
 def score_quality(docs: DataFrame, model: LinearModel, *, text: str = "text") -> DataFrame:
     """docs, packed as struct `doc`, with score."""
-    weights = docs.sparkSession.sparkContext.broadcast(model)
+    fitted = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, fitted = NGrams(), weights.value
-        for rows, texts in slices(batches):
-            scores = pa.array([fitted.score(grams(t)) for t in texts], pa.float64())
-            yield pa.RecordBatch.from_arrays([rows.column("doc"), scores], names=["doc", "score"])
+    def scorer():
+        grams, linear = NGrams(), fitted.value
+        return lambda t: linear.score(grams(t))
 
-    packed = docs.select(F.struct(*docs.columns).alias("doc"), text_or_empty(text).alias("text"))
-    return packed.mapInArrow(run, T.StructType([packed.schema["doc"], T.StructField("score", T.DoubleType())]))
+    return score_texts(docs, scorer, text=text)

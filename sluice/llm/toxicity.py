@@ -13,10 +13,11 @@ evidence is divided by 1 + the sum of its positive correlations.
 The classifier is logistic regression on the presence of words and word beginnings, fitted to the posteriors. Its features are those that go with
 posterior label 1 far beyond chance.
 
-Everything is fitted on at most `fit_rows` labelled documents (a documented bound), all documents are scored, whole, where they lie.
+Everything is fitted on at most `fit_rows` labelled documents and FIT_BYTES of their features (documented bounds), all documents are scored,
+whole, where they lie.
 
 Defined cases: null and empty texts have no word and get the score of the bias; without labels of both classes the label model has only the lexicons
-and patterns to go by, and without any labelled text every score is 0; repeated rows are each scored; an empty table gives an empty result.
+and patterns to go by, and without any labelled text every score is about 2e-22; repeated rows are each scored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,11 +30,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import text_or_empty
-from .labelled import labelled_sample
+from .labelled import labelled_sample, sample_features, score_texts
 from .tokens import slices
 
 FIT_ROWS = 12_000
@@ -233,28 +231,25 @@ def fit_model(rows: list[np.ndarray], patterns: np.ndarray, label: np.ndarray) -
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, usable, *, label: str = "toxic", fit_rows: int = FIT_ROWS, key: str = "doc_id", text: str = "text") -> ToxicityModel:
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for rows, texts in slices(batches):
             data = [np.array(sorted(words(t)), "<i4").tobytes() for t in texts]
             marks = pa.array(list(map(pattern_votes, texts)), pa.int32())
-            yield pa.RecordBatch.from_arrays([rows.column("label"), marks, pa.array(data, pa.binary())], names=["label", "patterns", "words"])
+            yield pa.RecordBatch.from_arrays([rows.column("order"), rows.column("label"), marks, pa.array(data, pa.binary())], names=["order", "label", "patterns", "data"])
 
     sample = labelled_sample(docs, labels, label, usable, fit_rows, key=key, text=text)
-    found = sorted((bytes(r.words), r.patterns, r.label) for r in sample.mapInArrow(run, "label int, patterns int, words binary").toLocalIterator())
-    rows = [np.frombuffer(f[0], "<i4") for f in found]
-    return fit_model(rows, np.array([f[1] for f in found], np.int64), np.array([f[2] for f in found], np.int64))
+    found = sample_features(sample, features, "order long, label int, patterns int, data binary", fit_rows)
+    rows = [np.frombuffer(r.data, "<i4") for r in found]
+    return fit_model(rows, np.array([r.patterns for r in found], np.int64), np.array([r.label for r in found], np.int64))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text: str = "text") -> DataFrame:
     """docs, packed as struct `doc`, with score."""
     fitted = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scorer():
         words = Words(only=fitted.value.index)
-        for rows, texts in slices(batches):
-            scores = pa.array([fitted.value.score(words(t)) for t in texts], pa.float64())
-            yield pa.RecordBatch.from_arrays([rows.column("doc"), scores], names=["doc", "score"])
+        return lambda t: fitted.value.score(words(t))
 
-    packed = docs.select(F.struct(*docs.columns).alias("doc"), text_or_empty(text).alias("text"))
-    return packed.mapInArrow(run, T.StructType([packed.schema["doc"], T.StructField("score", T.DoubleType())]))
+    return score_texts(docs, scorer, text=text)

@@ -1,11 +1,13 @@
+import math
 import random
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from sluice.llm.labelled import fold
-from sluice.llm.quality import dual_coordinate_descent, fit_quality, score_quality, shape_of
-from sluice.llm.toxicity import LEXICONS, fit_toxicity, label_model, score_toxicity
+from sluice.llm.labelled import fold, labelled_sample, sample_features
+from sluice.llm.quality import NGrams, dual_coordinate_descent, fit_nbsvm, fit_quality, score_quality, shape_of
+from sluice.llm.toxicity import LEXICONS, fit_logistic, fit_toxicity, label_model, score_toxicity
 
 WORDS = ["of", "the", "tion", "anst", "erre", "lyou", "heth", "nder", "blea", "shor"]
 
@@ -75,3 +77,132 @@ def test_dual_coordinate_descent_separates():
 
 def test_shapes():
     assert [shape_of(s) for s in ("word", "Word.", "NOISE!!", "a###", "12:30", "|", "iPhone5")] == ["a", "A.", "U!", "a#", "9:9", "|", "a9"]
+
+
+def test_a_null_key_folds_as_the_empty_text(spark):
+    rows = spark.createDataFrame([(None,), (17,)], "doc_id long").select(fold("doc_id", 5).alias("f")).collect()
+    assert [r.f for r in rows] == [zlib.crc32(b"") % 5, zlib.crc32(b"17") % 5]
+
+
+def naive_nbsvm(texts, labels, c=1.0, beta=0.25, epochs=20):
+    """The paper's steps with dicts and Python floats; a function from text to score."""
+    grams = NGrams()
+    docs = [sorted(grams(t)) for t in texts]
+    seen = [{}, {}]
+    for d, y in zip(docs, labels):
+        for g in d:
+            seen[y][g] = seen[y].get(g, 0) + 1
+    sizes = [labels.count(0), labels.count(1)]
+    ratio = {}
+    for g in seen[0].keys() | seen[1].keys():
+        n0, n1 = (s.get(g, 0) for s in seen)
+        r = math.log((n1 + 1) / (sizes[1] + 2)) - math.log((n0 + 1) / (sizes[0] + 2))
+        if n0 + n1 > 2 and r:
+            ratio[g] = r
+    docs = [[g for g in d if g in ratio] for d in docs]
+    w, bias, alpha = dict.fromkeys(ratio, 0.0), 0.0, [0.0] * len(docs)
+    order, rng = np.arange(len(docs)), np.random.default_rng(0)
+    for _ in range(epochs):
+        rng.shuffle(order)
+        moved = 0.0
+        for i in order.tolist():
+            y = 2 * labels[i] - 1
+            gradient = y * (sum(w[g] * ratio[g] for g in docs[i]) + bias) - 1
+            new = min(max(alpha[i] - gradient / (sum(ratio[g] ** 2 for g in docs[i]) + 1), 0.0), c)
+            for g in docs[i]:
+                w[g] += (new - alpha[i]) * y * ratio[g]
+            bias += (new - alpha[i]) * y
+            moved, alpha[i] = max(moved, abs(new - alpha[i])), new
+        if moved < 1e-3 * c:
+            break
+    mean = sum(map(abs, w.values())) / len(w)
+    return lambda t: 1 / (1 + math.exp(-sum(((1 - beta) * mean + beta * w[g]) * ratio[g] for g in grams(t) if g in ratio) - beta * bias))
+
+
+def test_quality_scores_match_a_naive_version(spark):
+    docs, labels = corpus(spark, 250)
+    sample = labelled_sample(docs, labels, "quality", fold("doc_id", 3) != 1, 8000)
+    rows = sorted(sample.collect(), key=lambda r: r.order)
+    want = naive_nbsvm([r.text for r in rows], [r.label for r in rows])
+    got = score_quality(docs, fit_quality(docs, labels, fold("doc_id", 3) != 1)).select("doc.text", "score").collect()
+    assert all(abs(r.score - want(r.text or "")) < 1e-9 for r in got)
+
+
+def test_dual_coordinate_descent_reaches_the_optimum():
+    """The primal objective meets the dual bound, which brute force over the hinge loss confirms."""
+    rng = np.random.default_rng(4)
+    rows = [np.sort(rng.choice(12, rng.integers(1, 6), replace=False)) for _ in range(60)]
+    sign = np.where([r[0] < 4 for r in rows], 1.0, -1.0) * np.where(rng.random(60) < 0.1, -1, 1)
+    values = rng.normal(1, 0.3, 12)
+    x = np.zeros((60, 13))
+    for i, r in enumerate(rows):
+        x[i, r], x[i, 12] = values[r], 1
+
+    def loss(v):
+        return 0.5 * v @ v + np.maximum(0, 1 - sign * (x @ v)).sum()
+
+    w, bias = dual_coordinate_descent(rows, values, sign, 1.0, 2000)
+    mine, v, best = loss(np.r_[w, bias]), np.zeros(13), np.inf
+    for step in range(1, 20_000):
+        v = v - (v - (sign * (sign * (x @ v) < 1)) @ x) / step
+        best = min(best, loss(v))
+    assert mine <= best + 1e-2
+
+
+def test_label_model_matches_a_naive_version():
+    rng = np.random.default_rng(1)
+    votes = (rng.random((80, 5)) < 0.4).tolist()
+    p = [0.9 if sum(v[:2]) > 0 else 0.1 for v in votes]
+    got, _, _ = label_model(np.array(votes), np.array(p), rounds=12)
+    p = [min(max(x, 0.02), 0.98) for x in p]
+    for _ in range(12):
+        rate = [[(sum(q * v[j] for q, v in zip(w, votes)) + 0.5) / (sum(w) + 1) for j in range(5)] for w in ([1 - x for x in p], p)]
+        residual = [[v[j] - (1 - q) * rate[0][j] - q * rate[1][j] for j in range(5)] for q, v in zip(p, votes)]
+        spread = [math.sqrt(sum(r[j] ** 2 for r in residual) / len(votes)) + 1e-9 for j in range(5)]
+        weight = []
+        for j in range(5):
+            others = [sum(r[j] * r[k] for r in residual) / len(votes) / spread[j] / spread[k] for k in range(5) if k != j]
+            weight.append(1 / (1 + sum(max(o, 0) for o in others)))
+        prior = min(max(sum(p) / len(p), 1e-3), 1 - 1e-3)
+        new = []
+        for v in votes:
+            margin = math.log(prior / (1 - prior))
+            for j in range(5):
+                margin += weight[j] * (math.log(rate[1][j] / rate[0][j]) if v[j] else math.log((1 - rate[1][j]) / (1 - rate[0][j])))
+            new.append(1 / (1 + math.exp(-min(max(margin, -50), 50))))
+        done = max(abs(a - b) for a, b in zip(new, p)) < 1e-4
+        p = new
+        if done:
+            break
+    assert np.allclose(got, p, atol=1e-9)
+
+
+def test_logistic_regression_reaches_the_optimum():
+    rng = np.random.default_rng(2)
+    rows = [np.flatnonzero(rng.random(6) < 0.4) for _ in range(200)]
+    target = np.clip(rng.random(200), 0.05, 0.95)
+    w, bias = fit_logistic(rows, 6, target, l2=1e-2, rounds=4000)
+    x = np.zeros((200, 7))
+    for i, r in enumerate(rows):
+        x[i, r], x[i, 6] = 1, 1
+    v, keep = np.zeros(7), np.r_[np.full(6, 1e-2), 0]
+    for _ in range(50):  # Newton's method
+        q = 1 / (1 + np.exp(-(x @ v)))
+        v = v - np.linalg.solve(x.T @ (x * (q * (1 - q))[:, None]) / 200 + np.diag(keep), x.T @ (q - target) / 200 + keep * v)
+    assert np.allclose(np.r_[w, bias], v, atol=1e-4)
+
+
+def test_the_sample_is_bounded_in_rows_and_bytes(spark):
+    docs, labels = corpus(spark, 60)
+    sample = labelled_sample(docs, labels, "quality", F.lit(True), 8000)
+
+    def features(batches):
+        for b in batches:
+            yield b.rename_columns(["order", "data", "label"]).select(["order", "label", "data"])
+
+    every = sample_features(sample, features, "order long, label int, data string", 8000)
+    assert len(every) == 61 and [r.order for r in every] == sorted(r.order for r in every)  # one key has two rows
+    assert sample_features(sample, features, "order long, label int, data string", 7) == every[:7]
+    few = sample_features(sample, features, "order long, label int, data string", 8000, max_bytes=2000)
+    assert 1 <= len(few) < 61 and few == every[: len(few)] and sum(len(r.data) for r in few) <= 2000
+    assert fit_nbsvm([], np.zeros(0)).bias == 0
