@@ -4,71 +4,77 @@ Pass 1 counts, over the whole table, how many rows set each bit of a blocked Blo
 least two rows set. Pass 2 tests each row: a row with a bit that no other row set is unique and passes straight
 through; only the others shuffle, on their SHA-256, and are decided exactly.
 
-The filter has a proven size: at most `max_bits` bits, 64 to a broadcast row. A table that outgrows it has more
-false alarms, so more rows shuffle, with the same result.
+The filter has BITS_PER_ROW bits a row, so about one unique row in twenty is a false alarm at any size. It is broadcast, so its size is
+bounded: a table that needs more than `max_bits` is cut into slices by hash, each with a filter of its own and at the same rate.
+The rows of a slice are read when its turn comes, so a table of n slices is read n times.
 
 Defined cases: a null text counts as the empty text; of rows with equal text and equal key exactly one stays; a null
-key ranks below any other; an empty table gives an empty result; further columns pass through.
+key ranks below any other; an empty table gives an empty result; further columns of any name and type pass through.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize, text_or_empty
 
-BITS_PER_ROW = 16
-MAX_BITS = 1 << 27
+BITS_PER_ROW = 8
+MAX_BITS = 1 << 30
+#: Filter words of 64 bits in one row of the broadcast table.
+CHUNK = 1024
 
 
 def _bits(digest: Column) -> list[Column]:
-    """Three bit places of a row within its filter word, from bits of the digest that the word number doesn't use."""
-    return [F.shiftrightunsigned(digest, s).bitwiseAND(63).cast("int") for s in (40, 46, 52)]
+    """Two bit places of a row within its filter word, from bits of the digest that neither word nor slice use."""
+    return [F.shiftrightunsigned(digest, s).bitwiseAND(63).cast("int") for s in (40, 46)]
 
 
-def _word(digest: Column, bits: int) -> Column:
-    return digest.bitwiseAND(bits // 64 - 1)
+def _word(digest: Column, words: int) -> Column:
+    return digest.bitwiseAND(words - 1)
 
 
-def filter_bits(rows: int, max_bits: int = MAX_BITS) -> int:
-    bits = 1 << 12
-    while bits < BITS_PER_ROW * rows and bits < max_bits:
-        bits *= 2
-    return bits
+def filter_shape(rows: int, max_bits: int = MAX_BITS) -> tuple[int, int]:
+    """Slices, and filter words (a power of two) of each."""
+    slices = max(1, -(-rows * BITS_PER_ROW // max_bits))
+    words = 1 << max(6, (rows * BITS_PER_ROW // slices // 64).bit_length())
+    return slices, words
 
 
-def repeated_bits(docs: DataFrame, bits: int, text: str = "text") -> DataFrame:
-    """word, repeated: the filter words with the bits that two rows or more have set."""
-    digest = F.xxhash64(text_or_empty(text))
-    places = F.array_distinct(F.array(*[_word(F.col("_h"), bits) * 64 + b for b in _bits(F.col("_h"))]))
-    return (
-        docs.select(digest.alias("_h"))
-        .select(F.explode(places).alias("_place"))
+def repeated_bits(hashes: DataFrame, words: int) -> DataFrame:
+    """_chunk, _words: every filter word, with the bits that two rows or more of column _h have set."""
+    h = F.col("_h")
+    places = F.array_distinct(F.array(*[_word(h, words) * 64 + b for b in _bits(h)]))
+    repeated = (
+        hashes.select(F.explode(places).alias("_place"))
         .groupBy("_place")
         .agg(F.count(F.lit(1)).alias("_n"))
         .where("_n > 1")
-        .groupBy(F.shiftright("_place", 6).alias("_word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(_place & 63 as int))")).alias("_repeated"))
+        .select(F.shiftright("_place", 6).alias("_word"), F.expr("shiftleft(1L, cast(_place & 63 as int))").alias("_set"))
     )
+    none = hashes.sparkSession.range(words).select(F.col("id").alias("_word"), F.lit(0).cast("bigint").alias("_set"))
+    each = repeated.unionByName(none).groupBy("_word").agg(F.bit_or("_set").alias("_set"))
+    chunk = F.floor(F.col("_word") / CHUNK).alias("_chunk")
+    return each.groupBy(chunk).agg(F.transform(F.sort_array(F.collect_list(F.struct("_word", "_set"))), lambda x: x["_set"]).alias("_words"))
 
 
 def flag_possible_repeats(docs: DataFrame, *, text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """doc (the row as a struct), maybe: false only for rows whose text is surely unique. Nothing of docs is shuffled."""
-    bits = filter_bits(docs.count(), max_bits)
-    words = repeated_bits(docs, bits, text)
+    slices, words = filter_shape(docs.count(), max_bits)
+    hashed = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64(text_or_empty(text)).alias("_h"))
     h = F.col("_h")
-    mask = None
-    for place in _bits(h):
-        one = F.call_function("shiftleft", F.lit(1).cast("bigint"), place)
-        mask = one if mask is None else mask.bitwiseOR(one)
-    return (
-        docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64(text_or_empty(text)).alias("_h"))
-        .withColumn("_word", _word(h, bits))
-        .join(F.broadcast(words), "_word", "left")  # at most max_bits / 64 rows of 16 bytes
-        .select("doc", (F.coalesce(F.col("_repeated"), F.lit(0).cast("bigint")).bitwiseAND(mask) == mask).alias("maybe"))
-    )
+    word = _word(h, words)
+    mask = reduce(Column.bitwiseOR, [F.call_function("shiftleft", F.lit(1).cast("bigint"), b) for b in _bits(h)])
+    own = F.element_at("_words", (word.bitwiseAND(min(CHUNK, words) - 1) + 1).cast("int"))
+    flagged = []
+    for i in range(slices):
+        rows = hashed.where(F.shiftrightunsigned(h, 52) % slices == i) if slices > 1 else hashed
+        bits = F.broadcast(repeated_bits(rows.select("_h"), words))  # at most max_bits / 64 words of 8 bytes
+        flagged.append(rows.withColumn("_chunk", F.floor(word / CHUNK)).join(bits, "_chunk").select("doc", (own.bitwiseAND(mask) == mask).alias("maybe")))
+    return reduce(DataFrame.unionAll, flagged)
 
 
 def sha256(text: str = "text") -> Column:
@@ -104,8 +110,9 @@ def exact_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     single = flagged.where("not maybe").select("doc.*")
     best = (
         flagged.where("maybe")
-        .groupBy(sha256(f"doc.{text}").alias("_sha"))
-        .agg(F.max_by("doc", F.struct(f"doc.{key}", F.xxhash64("doc"))).alias("doc"))
+        .select("doc", sha256(f"doc.{text}").alias("_sha"), F.monotonically_increasing_id().alias("_row"))
+        .groupBy("_sha")
+        .agg(F.max_by("doc", F.struct(f"doc.{key}", "_row")).alias("doc"))
         .select("doc.*")
     )
     return single.unionByName(best)

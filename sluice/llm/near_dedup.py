@@ -163,7 +163,7 @@ def _members(keyed: DataFrame) -> DataFrame:
 def _stars(members: DataFrame) -> DataFrame:
     """One pair (a, b) for each node: itself and the centre of its largest bucket."""
     picked = members.groupBy("node").agg(F.sum("size").alias("weight"), F.max(F.struct("size", "bucket")).alias("best"))
-    picked = materialize(picked.select("node", "weight", F.col("best.bucket").alias("bucket")), "picked")
+    picked = picked.select("node", "weight", F.col("best.bucket").alias("bucket"))
     centers = picked.groupBy("bucket").agg(F.max_by("node", F.struct("weight", "node")).alias("center"))
     return join_to_groups(picked, centers, "bucket").where("node != center").select(F.col("node").alias("a"), F.col("center").alias("b"))
 
@@ -217,8 +217,8 @@ def near_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     classes = connected_components(links, "a", "b")
     more = _across_classes(members, profiles, classes)
     if not more.isEmpty():
-        discard(classes)
-        classes = connected_components(links.unionByName(more), "a", "b")
+        first, classes = classes, connected_components(classes.toDF("a", "b").unionByName(more), "a", "b")
+        discard(first)
     discard(members, profiles, links, more)
     named = keyed.select("key", "node", "row").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     first = F.min(F.struct(F.col("key").isNull(), "key", "row")).alias("first")

@@ -1,7 +1,9 @@
 import hashlib
 import zlib
 
-from sluice.llm.exact_dedup import dedup_decisions, exact_dedup
+from pyspark.sql import functions as F
+
+from sluice.llm.exact_dedup import dedup_decisions, exact_dedup, filter_shape, flag_possible_repeats
 from sluice.llm.line_dedup import line_dedup
 from sluice.llm.sharding import shard_documents
 
@@ -79,3 +81,24 @@ def test_line_dedup_drops_only_the_lines_of_the_host(spark):
     assert got[100].clean_text == "menu\nother 0"
     assert (got[200].host, got[200].clean_text, got[200].n_lines) == ("", "", 0)
     assert got[201].clean_text == "menu\nx"
+
+
+def test_slices_flag_every_repeat_and_few_others(spark):
+    """Ten thousand unique texts and some repeated ones; one slice or many, the rate of false alarms is the same."""
+    docs = spark.range(10_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("own "), "id").alias("text"))
+    docs = docs.unionByName(spark.range(300).select("id", F.concat(F.lit("shared "), F.col("id") % 20)).toDF("doc_id", "text"))
+    for max_bits in (1 << 30, 1 << 14):
+        slices, words = filter_shape(10_300, max_bits)
+        assert (slices > 4) == (max_bits == 1 << 14) and slices * words * 64 >= 8 * 10_300
+        flagged = flag_possible_repeats(docs, max_bits=max_bits).select("doc.text", "maybe").collect()
+        assert len(flagged) == 10_300
+        assert all(r.maybe for r in flagged if r.text.startswith("shared"))
+        assert sum(r.maybe for r in flagged if r.text.startswith("own")) < 800
+
+
+def test_exact_dedup_passes_columns_of_any_type(spark):
+    rows = [(1, "a", {"x": 1}, [1]), (2, "a", None, None), (None, None, {"y": 2}, []), (None, "", None, [3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _h map<string,int>, _chunk array<int>")
+    got = exact_dedup(docs)
+    assert got.columns == docs.columns and sorted((r.doc_id, r.text or "") for r in got.collect() if r.doc_id) == [(2, "a")]
+    assert got.count() == 2
