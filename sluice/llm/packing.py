@@ -2,15 +2,17 @@
 
 1. Documents are tokenized where they lie and cut; a piece keeps its length, its checksum and its rank among the pieces of the same
    length in its partition. Token ids go no further.
-2. Range sort: lengths are integers up to the capacity, so counts by (partition, length) turn local ranks into ranks among all pieces of a
-   length. Pieces of one length, and open sequences of one gap, are runs.
-3. Rounds, from the longest run of pieces to the shortest: a sweep finds the successor, the smallest gap that holds the
-   length; rank resolves conflicts (the k-th piece takes the k-th sequence of the run, one sequence as many as fit);
-   gaps are updated, and the sweep repeats until the run is placed, opening new sequences where no gap is left.
-4. Each piece finds its sequence by its rank, in parallel.
-
-A round handles a whole run, so the plan of all rounds has a size that depends on the capacity alone
-(at most a few runs for each length), however many pieces there are; only counts by length reach the driver.
+2. Lengths are integers up to the capacity, so counts by (partition, length) turn local ranks into ranks among all pieces of a
+   length. Pieces of one length are a run, and so are sequences of one gap; a run is one row, however many pieces it has.
+3. Rounds, each a job on the table of runs. Runs are range-sorted by size. Sweeps over the ranges, from large to small, give each
+   run of pieces its successor, the smallest gap that holds it and that no longer piece has taken; what a range can't match meets the
+   other ranges in a second sweep, which is the same matching as one sweep over all. Rank resolves conflicts: the k-th piece of a run takes the
+   k-th sequence, one sequence as many as fit. Then gaps are updated, and the rounds repeat until every piece is placed.
+4. Lengths that no gap can hold open new sequences before a sweep: those of which fewer than MIXED fit in one, only the longest
+   class at a time (what half a sequence holds, what a third holds), so that shorter ones find the gaps; all shorter ones at once.
+5. Each piece finds its sequence by its rank, in parallel.
+
+The rows of a round are bounded by the capacity, and so is their number: neither grows with the number of pieces.
 
 Defined cases: a null text is empty and packs as its end id alone; repeated rows are packed each; a null key is kept; an empty
 table gives an empty result.
@@ -19,20 +21,27 @@ table gives an empty result.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, text_or_empty
+from .common import discard, materialize, text_or_empty
 from .tokens import encoder, slices
 
+#: A row of a round. piece: a run of n pieces of length `size` from rank `first`. gap: a run of n sequences with `size` left, from number
+#: `first`; new: one that this round has made. plan: n pieces of `length` from rank `rank`, `fit` to a sequence, from number `first`
+#: on, where `size` was left.
+RUN = "kind string, size long, first long, n long, length long, rank long, fit long"
+#: Ranges of sizes that are swept in parallel.
+RANGES = 8
+MIXED = 4
+
 
 def cut_lengths(n: int, capacity: int) -> list[int]:
     """A document longer than the capacity: a first piece of what is left over, then whole ones."""
@@ -40,40 +49,65 @@ def cut_lengths(n: int, capacity: int) -> list[int]:
     return [rest] * (rest > 0) + [capacity] * whole
 
 
-def plan_rounds(counts: dict[int, int], capacity: int) -> np.ndarray:
-    """Rows (length, first rank, pieces, first sequence, pieces to a sequence, offset), by length and rank."""
-    runs: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    gaps: list[int] = []
-    plan, opened = [], 0
-
-    def leave(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if not runs[gap]:
-                insort(gaps, gap)
-            runs[gap].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect_left(gaps, length)
-            if at < len(gaps):
-                gap = gaps[at]
-                first, n = runs[gap].pop()
-                if not runs[gap]:
-                    del gaps[at]
-            else:
-                gap, first, n = capacity, opened, -(-left // (capacity // length))
-                opened += n
-            fit = gap // length
-            full = min(n, left // fit)
-            used = full + (full < n and left > full * fit)
-            placed = min(left, used * fit)
-            plan.append((length, rank, placed, first, fit, capacity - gap))
-            leave(gap - fit * length, first, full)
+def sweep(runs: pd.DataFrame) -> pd.DataFrame:
+    """One sweep over the runs, from large to small: the top of the stack is the smallest gap not yet taken."""
+    order = np.lexsort((runs["first"], runs["kind"] == "piece", -runs["size"]))
+    out: list[tuple] = []
+    stack: list[list[int]] = []
+    for kind, size, first, n, *rest in runs.to_numpy()[order].tolist():
+        if kind == "gap":
+            stack.append([size, first, n])
+            continue
+        if kind != "piece":
+            out.append((kind, size, first, n, *rest))
+            continue
+        while n and stack:
+            gap, sequence, open_n = stack[-1]
+            fit = gap // size
+            full = min(open_n, n // fit)
+            used = full + (full < open_n and n > full * fit)
+            placed = min(n, used * fit)
+            out.append(("plan", gap, sequence, placed, size, first, fit))
+            out.append(("new", gap - fit * size, sequence, full, 0, 0, 0))
             if used > full:
-                leave(gap - (placed - full * fit) * length, first + full, 1)
-            leave(gap, first + used, n - used)
-            rank, left = rank + placed, left - placed
+                out.append(("new", gap - (placed - full * fit) * size, sequence + full, 1, 0, 0, 0))
+            first, n = first + placed, n - placed
+            if used == open_n:
+                stack.pop()
+            else:
+                stack[-1] = [gap, sequence + used, open_n - used]
+        if n:
+            out.append(("piece", size, first, n, 0, 0, 0))
+    out += [("gap", *g, 0, 0, 0) for g in stack]
+    names = [c.split()[0] for c in RUN.split(",")]
+    return pd.DataFrame([r for r in out if r[3] and (r[1] or r[0] != "new")], columns=names)
+
+
+def pack_runs(counts: DataFrame, capacity: int) -> np.ndarray:
+    """Rows (length, first rank, pieces, first sequence, pieces to a sequence, offset) for the pieces counted by (length, n)."""
+    spark = counts.sparkSession
+    none = [F.lit(0).cast("bigint").alias(c) for c in ("length", "rank", "fit")]
+    start = counts.select(F.lit("piece").alias("kind"), F.col("length").alias("size"), F.lit(0).cast("bigint").alias("first"), "n", *none)
+    rounds, state, opened = [], materialize(start, "runs"), 0
+    rounds.append(state)
+    is_piece, size = F.col("kind") == "piece", F.col("size")
+    while (top := (at := state.agg(F.max(F.when(is_piece, size)), F.max(F.when(~is_piece, size))).first())[0]) is not None:
+        runs = state
+        if top > (at[1] or 0):
+            stuck = state.where(is_piece & (size > (at[1] or 0)))
+            fit = capacity // top
+            if fit < MIXED:
+                stuck, need = stuck.where(F.floor(F.lit(capacity) / size) == fit), F.ceil(F.sum("n") / fit)
+            else:
+                need = F.ceil(F.sum(size * F.col("n")) / capacity)
+            n = stuck.agg(need).first()[0]
+            runs = runs.unionByName(spark.createDataFrame([("gap", capacity, opened, n, 0, 0, 0)], RUN))
+            opened += n
+        swept = runs.groupBy(F.floor(size * RANGES / (capacity + 1))).applyInPandas(sweep, RUN).groupBy().applyInPandas(sweep, RUN)
+        rounds.append(materialize(swept, "runs"))
+        state = rounds[-1].where("kind != 'plan'").withColumn("kind", F.when(is_piece, "piece").otherwise("gap"))
+    plan = [r for made in rounds for r in made.where("kind = 'plan'").select("length", "rank", "n", "first", "fit", capacity - size).collect()]
+    discard(*rounds)
     return np.array(plan, np.int64).reshape(-1, 6)
 
 
@@ -116,8 +150,7 @@ def pack_documents(docs: DataFrame, *, vocabulary: str, joined: bool = True, end
     """key, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
     pieces = materialize(token_pieces(docs, vocabulary=vocabulary, joined=joined, end_id=end_id, capacity=capacity, key=key, text=text), "pieces")
     by_part = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
-    counts = {r.length: r.n for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    plan = plan_rounds(counts, capacity)
+    plan = pack_runs(by_part.groupBy("length").agg(F.sum("n").alias("n")), capacity)
     plan = docs.sparkSession.sparkContext.broadcast(plan[np.lexsort((plan[:, 1], plan[:, 0]))])
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = by_part.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))

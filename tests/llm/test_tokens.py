@@ -1,7 +1,8 @@
-import base64
 import hashlib
 import random
 import zlib
+from bisect import bisect_left, insort
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -11,7 +12,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from sluice.llm.bpe import ByteBPE, PerfectHash, bpe_decode, bpe_digests, bpe_encode, load_ranks
-from sluice.llm.packing import cut_lengths, pack_documents, place, plan_rounds
+from sluice.llm.packing import cut_lengths, pack_documents, pack_runs, place
 from sluice.llm.token_files import BLOCK, Reader, Writer, pack, token_file_round_trip
 from sluice.llm.tokens import ChunkEncoder
 
@@ -152,25 +153,29 @@ def check_packing(pieces, capacity):
     return len(by)
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(1, 40), max_size=200), st.sampled_from([40, 64]))
-def test_plan_is_best_fit_decreasing(lengths, capacity):
-    counts = {n: lengths.count(n) for n in set(lengths)}
-    plan = plan_rounds(counts, capacity)
-    if not lengths:
-        assert len(plan) == 0
-        return
-    plan = plan[np.lexsort((plan[:, 1], plan[:, 0]))]
-    n = np.array(sorted(lengths))
-    rank = np.concatenate([np.arange(counts[v]) for v in sorted(counts)])
-    used = check_packing(list(zip(*(a.tolist() for a in (*place(plan, capacity, n, rank), n)))), capacity)
+def best_fit_decreasing(lengths, capacity):
+    """One piece at a time; the number of sequences."""
     gaps = []
-    for v in sorted(lengths, reverse=True):  # one by one
-        fits = [g for g in gaps if g >= v]
-        if fits:
-            gaps.remove(min(fits))
-        gaps.append((min(fits) if fits else capacity) - v)
-    assert used == len(gaps)
+    for v in sorted(lengths, reverse=True):
+        at = bisect_left(gaps, v)
+        insort(gaps, (gaps.pop(at) if at < len(gaps) else capacity) - v)
+    return len(gaps)
+
+
+def test_rounds_pack_like_best_fit(spark):
+    rng = random.Random(3)
+    for capacity, lengths in (
+        (64, [rng.randint(1, 40) for _ in range(3000)]),
+        (10, [10] * 5),
+    ):
+        counts = Counter(lengths)
+        plan = pack_runs(spark.createDataFrame(sorted(counts.items()), "length long, n long"), capacity)
+        plan = plan[np.lexsort((plan[:, 1], plan[:, 0]))]
+        n = np.array(sorted(lengths))
+        rank = np.concatenate([np.arange(counts[v]) for v in sorted(counts)])
+        used = check_packing(list(zip(*(a.tolist() for a in (*place(plan, capacity, n, rank), n)))), capacity)
+        assert used <= 1.005 * best_fit_decreasing(lengths, capacity) + 1
+    assert len(pack_runs(spark.createDataFrame([], "length long, n long"), 9)) == 0
 
 
 def test_pack_documents(spark):
@@ -185,5 +190,5 @@ def test_pack_documents(spark):
             start += n
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)[:5]) for r in got)
     used = check_packing([(r.sequence_id, r.offset, r.length) for r in got], 2048)
-    assert used <= -(-sum(w[3] for w in want) // 2048) + 1
+    assert used <= best_fit_decreasing([w[3] for w in want], 2048) + 1
     assert pack_documents(docs.limit(0), vocabulary=BYTE).collect() == []
