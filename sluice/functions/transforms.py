@@ -7,32 +7,15 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WORD = 0xFFFFFFFF
-
-
-def _times(a: Column, b: int) -> Column:
-    """a * b modulo 2**32; partial products stay below 2**49, so ANSI mode never overflows."""
-    return (a.bitwiseAND(0xFFFF) * F.lit(b) + F.shiftleft((F.shiftright(a, 16) * F.lit(b)).bitwiseAND(0xFFFF), 16)).bitwiseAND(WORD)
-
-
-def _turn(a: Column, n: int) -> Column:
-    return F.shiftleft(a, n).bitwiseAND(WORD).bitwiseOR(F.shiftright(a, 32 - n))
+#: Spark's hash() is murmur3_x86_32 with seed 42, and hash(a, b) hashes b with the hash of a as its seed. This is the int
+#: whose hash is 0, so hash(SEED_0, v) has seed 0, as the bucket transform of table formats needs.
+SEED_0 = -1693959553
 
 
 def murmur3_long(value: Column) -> Column:
-    """The unsigned 32-bit murmur3 of a bigint's 8 little-endian bytes, seed 0, as the table-format bucket transform needs.
-
-    Spark's own hash() has seed 42. Fixed values below are the public constants of murmur3_x86_32.
-    """
+    """The 32-bit murmur3 of a bigint's 8 little-endian bytes, seed 0, as a signed int."""
     v = value.cast("bigint")
-    h = F.lit(0).cast("bigint")
-    for word in (v.bitwiseAND(WORD), F.shiftrightunsigned(v, 32)):
-        h = _turn(h.bitwiseXOR(_times(_turn(_times(word, 0xCC9E2D51), 15), 0x1B873593)), 13)
-        h = (h * 5 + 0xE6546B64).bitwiseAND(WORD)
-    h = h.bitwiseXOR(F.lit(8).cast("bigint"))
-    h = _times(h.bitwiseXOR(F.shiftright(h, 16)), 0x85EBCA6B)
-    h = _times(h.bitwiseXOR(F.shiftright(h, 13)), 0xC2B2AE35)
-    return h.bitwiseXOR(F.shiftright(h, 16))
+    return F.when(v.isNotNull(), F.hash(F.lit(SEED_0), v))
 
 
 def bucket(n: int, value: Column) -> Column:
@@ -52,28 +35,16 @@ def transform(text: str) -> tuple[str, Column]:
     kind, inner = re.fullmatch(r"\s*(\w+)\s*\((.*)\)\s*", text).groups()
     args = [a.strip() for a in inner.split(",")]
     column = args[-1]
-    made = {"bucket": lambda: bucket(int(args[0]), F.col(column)), "hours": lambda: hours(F.col(column)), "days": lambda: days(F.col(column)), "identity": lambda: F.col(column)}[kind]()
-    return f"_{kind}_{column}", made
+    value = F.col(column)
+    made = {"bucket": lambda: bucket(int(args[0]), value), "hours": lambda: hours(value), "days": lambda: days(value), "identity": lambda: value}
+    return f"_{kind}_{column}", made[kind]()
+
+
+def source_of(text: str) -> str:
+    """The column that a transform reads."""
+    return text.rstrip(" )").split("(")[-1].split(",")[-1].strip()
 
 
 def register(spark) -> None:
-    """`bucket(n, value)` for SQL text, as a temporary SQL function."""
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION lake_bucket(n INT, v BIGINT) RETURNS INT RETURN " + _bucket_sql())
-
-
-def _bucket_sql() -> str:
-    def times(a, b):
-        return f"((({a}) & 65535) * {b}L + shiftleft((shiftright({a}, 16) * {b}L) & 65535, 16)) & {WORD}L"
-
-    def turn(a, n):
-        return f"((shiftleft({a}, {n}) & {WORD}L) | shiftright({a}, {32 - n}))"
-
-    steps, h = [], "0L"
-    for name, word in (("a", f"v & {WORD}L"), ("b", "shiftrightunsigned(v, 32)")):
-        steps += [(f"{name}1", times(f"({word})", 0xCC9E2D51)), (f"{name}2", turn(f"{name}1", 15)), (f"{name}3", times(f"{name}2", 0x1B873593)), (f"{name}4", f"({h}) ^ {name}3"), (f"{name}5", f"({turn(f'{name}4', 13)} * 5 + {0xE6546B64}L) & {WORD}L")]
-        h = f"{name}5"
-    steps += [("c0", f"{h} ^ 8L"), ("c1", "c0 ^ shiftright(c0, 16)"), ("c2", times("c1", 0x85EBCA6B)), ("c3", "c2 ^ shiftright(c2, 13)"), ("c4", times("c3", 0xC2B2AE35)), ("c5", "c4 ^ shiftright(c4, 16)")]
-    inner = "SELECT v, n"
-    for name, text in steps:
-        inner = f"SELECT *, {text} AS {name} FROM ({inner})"
-    return f"(SELECT CAST((c5 & 2147483647) % n AS INT) FROM ({inner}))"
+    """`lake_bucket(n, value)` for SQL text, as a temporary SQL function."""
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION lake_bucket(n INT, v BIGINT) RETURNS INT RETURN CAST((hash({SEED_0}, v) & 2147483647) % n AS INT)")

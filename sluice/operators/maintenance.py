@@ -6,7 +6,7 @@ import logging
 import threading
 from collections import defaultdict
 from collections.abc import Callable
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame
 
@@ -20,22 +20,31 @@ RESULT = "rewritten_parts int, added_parts int, failed_groups int"
 TARGET_BYTES = 273_741_824
 
 
-def rewrite_data_files(table: SnapshotTable, sort_by: list[str] | None = None, where: Callable[[dict], bool] = lambda values: True, max_commits: int = 10, min_parts: int = 2, target_bytes: int = TARGET_BYTES) -> DataFrame:
+def rewrite_data_files(
+    table: SnapshotTable,
+    sort_by: list[str] | None = None,
+    where: Callable[[dict], bool] = lambda values: True,
+    max_commits: int = 10,
+    min_parts: int = 2,
+    target_bytes: int = TARGET_BYTES,
+) -> DataFrame:
     """Rewrites partitions of several parts as one sorted part each, in files of about target_bytes; the rows stay the same.
 
-    Small partitions go first, in at most max_commits commits, so a conflict loses one of them only. Tables with
-    delete parts are compacted whole, with the deletes applied.
+    where: the partitions to look at, by their hidden values. Small partitions go first, in at most max_commits commits, so a conflict loses one
+    of them only. Tables with delete parts are compacted whole, with the deletes applied.
     """
     deletes = table.parts(kind="delete")
     if deletes:
         base = table.current_snapshot_id()
-        old = table.parts(base) + deletes
-        table.replace(old, table.scan(base), "replace", sort_by, files=max(1, -(-table.bytes_of(old) // target_bytes)), base=base, check_base=True)
-        return table.spark.createDataFrame([(len(old), len(table.parts()), 0)], RESULT)
+        data = table.parts(base)
+        size = sum(p["bytes"] for p in data)
+        table.replace(data + deletes, table.scan(base), "replace", sort_by, files=max(1, -(-size // target_bytes)), base=base, check_base=True)
+        return table.spark.createDataFrame([(len(data) + len(deletes), len(table.parts()), 0)], RESULT)
     groups: dict[str, list[dict]] = defaultdict(list)
     for p in table.parts(where=where):
         groups[p["partition"]].append(p)
-    work = sorted(((table.bytes_of(g), g) for g in groups.values() if len(g) >= min_parts), key=lambda x: x[0])
+    several = [g for g in groups.values() if len(g) >= min_parts]
+    work = sorted(((sum(p["bytes"] for p in g), g) for g in several), key=lambda x: x[0])
     before = after = failed = 0
     step = max(1, -(-len(work) // max_commits))
     for i in range(0, len(work), step):
@@ -52,6 +61,13 @@ def rewrite_data_files(table: SnapshotTable, sort_by: list[str] | None = None, w
     return table.spark.createDataFrame([(before, after, failed)], RESULT)
 
 
+def closed_hours(column: str, now: datetime, first: int = 2, last: int = 1) -> Callable[[dict], bool]:
+    """Partitions of hours(column) that began `first` to `last` hours before the current hour of `now` (UTC): closed ones, which no
+    writer on time touches any more, so compaction doesn't race with the hot hour."""
+    hour = int(now.replace(tzinfo=now.tzinfo or timezone.utc).timestamp() // 3600)
+    return lambda values: values[f"_hours_{column}"].isdigit() and hour - first <= int(values[f"_hours_{column}"]) <= hour - last
+
+
 def due(batch_id: int, every: int) -> bool:
     """In-line schedule by batch number; batch 0 is due."""
     return batch_id % every == 0

@@ -14,26 +14,31 @@ def newest_first(time_column: str = "last_updated", ties: tuple[str, ...] = ("ba
     return [F.desc_nulls_last(c) for c in (time_column, *ties)]
 
 
-def merge_into_mirror(mirror: SnapshotTable, latest: DataFrame, key: str = "account_id", mode: str = "copy-on-write", summary: dict[str, str] | None = None, tries: int = 10) -> int:
+def merge_into_mirror(
+    mirror: SnapshotTable, latest: DataFrame, key: str = "account_id", mode: str = "copy-on-write", summary: dict[str, str] | None = None, tries: int = 10
+) -> int:
     """Applies one change a key to the mirror in one commit, which fails and is computed again if another commit came first.
 
     copy-on-write rewrites the partitions that hold a changed key. merge-on-read writes the changed keys as a delete part and
     the new rows as a data part; scans put them together.
     """
-    for _ in range(tries):
-        base = mirror.current_snapshot_id()
-        try:
-            if mode == "merge-on-read":
-                keys = latest.select(key)
-                touched = mirror.scan(base).join(keys, key, "left_semi")
-                return mirror.delete_and_append(keys, mirror_merge(touched, latest, key), summary, base=base)
-            hit = mirror.partition_values(latest.select(key))
-            inside = lambda values: not hit or all(values.get(n) in seen for n, seen in hit.items())
-            old = mirror.parts(base, where=inside)
-            return mirror.replace(old, mirror_merge(mirror.read_parts(old), latest, key), "merge", summary=summary, base=base, check_base=True)
-        except CommitConflict:
-            continue
-    raise CommitConflict(f"mirror: no commit in {tries} tries")
+    latest = latest.persist()  # read for the keys and for the rows
+    try:
+        inside = mirror.affected(latest, [key])
+        for _ in range(tries):
+            base = mirror.current_snapshot_id()
+            try:
+                if mode == "merge-on-read":
+                    keys = latest.select(key)
+                    touched = mirror.scan(base, where=inside).join(keys, key, "left_semi")
+                    return mirror.delete_and_append(keys, mirror_merge(touched, latest, key), summary, base=base)
+                old = mirror.parts(base, where=inside)
+                return mirror.replace(old, mirror_merge(mirror.read_parts(old), latest, key), "merge", summary=summary, base=base, check_base=True)
+            except CommitConflict:
+                continue
+        raise CommitConflict(f"mirror: no commit in {tries} tries")
+    finally:
+        latest.unpersist()
 
 
 def mirror_changes(changelog: DataFrame, mirror: SnapshotTable, since: Column | None = None, key: str = "account_id", mode: str = "copy-on-write") -> int:
@@ -43,8 +48,7 @@ def mirror_changes(changelog: DataFrame, mirror: SnapshotTable, since: Column |
 
 def watermark_of(mirror: SnapshotTable, source: str) -> int | None:
     """The newest snapshot of `source` that the mirror holds."""
-    found = next((s.summary[k] for s in mirror.lineage() if (k := f"watermark:{source}") in s.summary), None)
-    return None if found is None else int(found)
+    return mirror.progress().get(f"watermark:{source}")
 
 
 def incremental_mirror(changelog: SnapshotTable, mirror: SnapshotTable, source: str = "accounts_changelog", key: str = "account_id", mode: str = "copy-on-write") -> int | None:

@@ -7,12 +7,13 @@ after a failure commits nothing. Offsets and state live in the checkpoint folder
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.dedup import within_watermark
-from ..operators.maintenance import due, rewrite_data_files
+from ..operators.maintenance import closed_hours, due, rewrite_data_files
 from ..operators.merge import insert_only
 from ..sources.snapshot_table import CommitConflict, SnapshotTable
 
@@ -45,20 +46,34 @@ def watermark_ingest(
 
 
 def merge_new(
-    table: SnapshotTable, rows: DataFrame, keys: list[str], *, target_filter: Column | None = None, parts: Callable[[dict], bool] = lambda values: True, dedup_within: bool = False, summary: dict[str, str] | None = None, tries: int = 10
+    table: SnapshotTable,
+    rows: DataFrame,
+    keys: list[str],
+    *,
+    target_filter: Column | None = None,
+    parts: Callable[[dict], bool] = lambda values: True,
+    dedup_within: bool = False,
+    summary: dict[str, str] | None = None,
+    tries: int = 10,
 ) -> int:
     """Insert-only MERGE in one commit; after a conflicting commit the match is computed again on the new snapshot.
 
-    parts prunes the target's partitions by their hidden values; it must keep all that target_filter could let through.
+    Of the target only partitions are read that can hold a match: those that the batch itself falls in, by the transforms of
+    key columns, and that `parts` takes by their hidden values; `parts` must take all that target_filter could let through.
     """
-    for _ in range(tries):
-        base = table.current_snapshot_id()
-        new = insert_only(table.scan(base, where=parts), rows, keys, target_filter, dedup_within)
-        try:
-            return table.append(new, summary, base=base, check_base=True)
-        except CommitConflict:
-            continue
-    raise CommitConflict(f"merge: no commit in {tries} tries")
+    rows = rows.persist()  # read for its partitions and for the merge
+    try:
+        hit = table.affected(rows, keys)
+        for _ in range(tries):
+            base = table.current_snapshot_id()
+            target = table.scan(base, where=lambda values: hit(values) and parts(values))
+            try:
+                return table.append(insert_only(target, rows, keys, target_filter, dedup_within), summary, base=base, check_base=True)
+            except CommitConflict:
+                continue
+        raise CommitConflict(f"merge: no commit in {tries} tries")
+    finally:
+        rows.unpersist()
 
 
 def merge_ingest(
@@ -69,25 +84,35 @@ def merge_ingest(
     checkpoint: str,
     keys: tuple[str, ...] = ("employee_id", "start_date"),
     target_filter: Callable[[], Column | None] = lambda: None,
+    parts: Callable[[], Callable[[dict], bool]] = lambda: lambda values: True,
     dedup: bool = True,
     dedup_within: bool = False,
     compaction: bool = False,
+    compact: Callable[[], Callable[[dict], bool]] | None = None,
     sort_by: tuple[str, ...] = ("start_date",),
     every: str | None = None,
 ) -> StreamingQuery:
     """Insert-only MERGE of each batch, or a plain append without `dedup`; with `compaction`, data files are rewritten every
-    COMPACT_EVERY batches and manifests every MANIFESTS_EVERY. target_filter is called for each batch, so it can move with time."""
+    COMPACT_EVERY batches and manifests every MANIFESTS_EVERY.
+
+    target_filter, parts and compact are called for each batch, so they can move with time. compact: the partitions to rewrite; unless
+    given, closed hours of a table that has hours of the first sort column, else all.
+    """
+    hourly = f"hours({sort_by[0]})" in [s.replace(" ", "") for s in table.load()[1].spec]
+
+    def closed() -> Callable[[dict], bool]:
+        return closed_hours(sort_by[0], datetime.now(timezone.utc)) if hourly else lambda values: True
 
     def handle(rows: DataFrame, batch_id: int) -> None:
         if not table.has_batch(name, batch_id):
             summary = batch_summary(name, batch_id)
             if dedup:
-                merge_new(table, rows, list(keys), target_filter=target_filter(), dedup_within=dedup_within, summary=summary)
+                merge_new(table, rows, list(keys), target_filter=target_filter(), parts=parts(), dedup_within=dedup_within, summary=summary)
             else:
                 table.append(rows, summary, positional=True)
         if compaction:
             if due(batch_id, COMPACT_EVERY):
-                rewrite_data_files(table, list(sort_by))
+                rewrite_data_files(table, list(sort_by), (compact or closed)())
             if due(batch_id, MANIFESTS_EVERY):
                 table.rewrite_manifests()
 

@@ -1,6 +1,9 @@
 """Operators on planted edge rows."""
 
+import json
+import shutil
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -9,14 +12,14 @@ from pyspark.sql import functions as F
 
 from sluice.functions import codecs
 from sluice.functions.transforms import bucket, murmur3_long, register
-from sluice.operators.maintenance import HourlyMaintenance, millis_to_next_run, rewrite_data_files
+from sluice.operators.maintenance import HourlyMaintenance, closed_hours, millis_to_next_run, rewrite_data_files
 from sluice.operators.merge import insert_only, latest_change, mirror_merge
 from sluice.plans.cdc import incremental_mirror, merge_into_mirror, newest_first, watermark_of
 from sluice.plans.ingest import dedup_partitions
 from sluice.schemas import MIRROR, MIRROR_SPEC
 from sluice.sources.generate import account_changes, employees, json_employees
 from sluice.sources.snapshot_table import CommitConflict, SnapshotTable
-from sluice.streaming.jobs import append_stream, console, merge_new, watermark_ingest
+from sluice.streaming.jobs import append_stream, console, merge_ingest, merge_new, watermark_ingest
 
 T0 = datetime(2024, 1, 1)
 CHANGE = "account_id long, operation string, balance long, last_updated timestamp"
@@ -40,6 +43,8 @@ def test_bucket_vectors(spark):
     register(spark)
     ids = spark.createDataFrame([(0,), (34,), (-1,), (2**40,), (-(2**63),)], "v long")
     assert all(a == b for a, b in ids.select(bucket(8, F.col("v")), F.expr("lake_bucket(8, v)")).collect())
+    assert spark.range(1).select(bucket(8, F.lit(None))).first()[0] is None
+    assert len(ids.select(bucket(8, F.col("v")))._jdf.queryExecution().analyzed().toString()) < 1000
 
 
 def test_parse_change(spark):
@@ -210,6 +215,101 @@ def test_batch_twice_is_one_snapshot(spark, tmp_path):
     assert t.snapshots().count() == 1 and t.has_batch("q", 7)
 
 
+def test_replay_after_expiry_commits_nothing(spark, tmp_path):
+    """Commit, compact, expire, and only then the same batch again, as after a failure before the stream's own commit."""
+    t = numbers(spark, tmp_path / "t")
+    batch = {"query-id": "q", "batch-id": "0"}
+    t.append(kv(spark, (1, "a")), batch)
+    t.append(kv(spark, (1, "b")), {"query-id": "other", "batch-id": "5"})
+    rewrite_data_files(t, ["k"])
+    t.expire_snapshots(float("inf"))
+    again = SnapshotTable(spark, t.path)
+    assert again.has_batch("q", 0) and again.has_batch("other", 4) and not again.has_batch("q", 1)
+    again.append(kv(spark, (1, "a")), batch)
+    assert rows(again.scan()) == [(1, "a"), (1, "b")]
+    mirror = SnapshotTable.create(spark, str(tmp_path / "m"), MIRROR, MIRROR_SPEC)
+    mirror.append(spark.createDataFrame([], MIRROR), {"watermark:log": "4"})
+    rewrite_data_files(mirror, min_parts=1)
+    mirror.append(spark.createDataFrame([], MIRROR))
+    mirror.expire_snapshots(float("inf"))
+    assert watermark_of(mirror, "log") == 4
+
+
+def test_a_merge_reads_only_partitions_that_may_match(spark, tmp_path):
+    kind = "k long, ts timestamp, team string"
+    t = SnapshotTable.create(spark, str(tmp_path / "t"), kind, ["hours(ts)", "identity(team)", "bucket(4, k)"])
+    t.append(spark.createDataFrame([(k, T0 + timedelta(hours=h), team) for k in (34, 35) for h in (0, 5) for team in ("a b", "c:d")], kind))
+    batch = spark.createDataFrame([(34, T0, "a b"), (34, T0 + timedelta(minutes=1), "a b")], kind)
+    hit = t.affected(batch, ["k", "ts", "team"])
+    for p in t.parts(where=lambda values: not hit(values)):
+        shutil.rmtree(p["path"])  # a merge that opened them would fail
+    assert len(t.parts(where=hit)) == 1 and len(t.parts()) == 8
+    merge_new(t, batch, ["k", "ts", "team"])
+    assert rows(t.read_parts(t.parts(where=hit)), "k", "ts") == [(34, T0), (34, T0 + timedelta(minutes=1))]
+    other = t.affected(spark.createDataFrame([(34, T0, "c:d")], kind), ["team"])
+    assert {p["partition"].split("/")[1] for p in t.parts(where=other)} == {"_identity_team=c%3Ad"}
+    assert t.affected(batch, ["nothing"])({})
+
+
+def test_a_stream_compacts_closed_hours_only(spark, tmp_path):
+    now = datetime.now().replace(minute=30)
+    kind = "employee_id long, start_date timestamp"
+    t = SnapshotTable.create(spark, str(tmp_path / "t"), kind, ["hours(start_date)"])
+    for i in range(2):
+        t.append(spark.createDataFrame([(i, now - timedelta(hours=h)) for h in (0, 1, 2, 4)], kind))
+    spark.createDataFrame([(9, now)], kind).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
+    merge_ingest(stream, t, name="m", checkpoint=str(tmp_path / "c"), compaction=True).awaitTermination()
+    parts = {}
+    for p in t.parts():
+        parts.setdefault(p["partition"], []).append(p)
+    assert sorted(map(len, parts.values())) == [1, 1, 2, 3]
+    inside = closed_hours("start_date", datetime(2024, 1, 1, 10, 17))
+    hour = int(datetime(2024, 1, 1, 10).timestamp() // 3600) if datetime.now().astimezone().utcoffset() == timedelta(0) else 473_364 + 10
+    assert [h - hour for h in range(hour - 5, hour + 2) if inside({"_hours_start_date": str(h)})] == [-2, -1]
+
+
+def test_metadata_grows_by_changes(spark, tmp_path):
+    t = numbers(spark, tmp_path / "t", spec=["identity(k)"])
+    for i in range(4):
+        t.append(kv(spark, *[(k, str(i)) for k in range(i * 10, i * 10 + 10)]))
+    newest = sorted(Path(t.path, "metadata").glob("v*.json"))[-1]
+    assert "_identity_k" not in newest.read_text()
+    sizes = [len(json.loads(m.read_text())["added"]) for m in Path(t.path, "metadata").glob("m-*.json")]
+    assert sizes == [10] * 4 and len(t.parts()) == 40 and t.snapshots().select("live_parts").collect()[-1][0] == 40
+    before = rows(t.scan())
+    assert t.rewrite_manifests(keep_versions=2).first().rewritten_manifests == 4
+    assert len(list(Path(t.path, "metadata").glob("v*.json"))) == 2
+    t.append(kv(spark, (99, "x")))
+    assert rows(SnapshotTable(spark, t.path).scan()) == sorted([*before, (99, "x")], key=repr)
+
+
+def test_maintenance_meets_a_concurrent_commit(spark, tmp_path):
+    for task in (lambda t: t.rewrite_manifests(), lambda t: t.expire_snapshots(float("inf")), lambda t: t.rollback(1)):
+        t = numbers(spark, tmp_path / f"t{id(task)}")
+        t.append(kv(spark, (1, "a")))
+        put, other = t._put, SnapshotTable(spark, t.path)
+
+        def late(version, meta, put=put, other=other, t=t):
+            t._put = put
+            other.append(kv(spark, (2, "b")))
+            put(version, meta)
+
+        t._put = late
+        task(t)
+        assert (1, "a") in rows(t.scan())
+
+
+def test_merge_on_read_is_one_scan_whatever_the_commits(spark, tmp_path):
+    t = SnapshotTable.create(spark, str(tmp_path / "m"), MIRROR, MIRROR_SPEC, {"merge.key": "account_id"})
+    change = lambda b: spark.createDataFrame([(1, "I", b, T0), (b, "I", b, T0)], CHANGE)
+    for b in range(10, 14):
+        merge_into_mirror(t, change(b), mode="merge-on-read")
+    plan = t.scan()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("Relation [") == 2
+    assert rows(t.scan(), "account_id", "balance") == [(1, 13.0), *[(b, float(b)) for b in range(10, 14)]]
+
+
 def test_watermark_dedup_and_restart(spark, tmp_path):
     at = lambda s: T0 + timedelta(seconds=s)
     batches = [[(1, at(0)), (1, at(0))], [(1, at(0)), (2, at(300))], [(3, at(10)), (1, at(0))], [(4, at(200)), (2, at(300))]]
