@@ -268,7 +268,8 @@ def _search(celled: DataFrame, queries: DataFrame, index: MultiIndex, wanted: in
                 yield pd.DataFrame({"query": query, "v": [v] * len(blocks), "block": blocks, "cells": seen})
 
     placed = celled.mapInPandas(place, "v array<double>, ids array<long>, cell int, block long")
-    visits = materialize(queries.repartition("query").mapInPandas(visit, "query long, v array<double>, block long, cells binary"), "visits")
+    walks = 4 * celled.sparkSession.sparkContext.defaultParallelism  # a few bytes of input each, but much work
+    visits = materialize(queries.repartition(walks, "query").mapInPandas(visit, "query long, v array<double>, block long, cells binary"), "visits")
     demand = visits.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("parts"))
     left = placed.join(demand, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     right = visits.join(demand, "block").withColumn("part", F.pmod(F.xxhash64("query"), F.col("parts")).cast("int"))
