@@ -1,17 +1,24 @@
 """Payload codecs: delimited changes, JSON, Avro records, Protobuf messages and registry framing.
 
-CSV and JSON stay in built-in functions. Avro and Protobuf are decoded by Arrow-batched Pandas UDFs to the structs that Spark's
-connector functions give, so they need no jars; where the jars are present those functions can stand in their place.
+CSV and JSON stay in built-in functions. Avro and Protobuf are decoded by Spark's own connector functions where their jars are on the
+session's class path; elsewhere Arrow-batched UDFs give the same structs (`connector` tells which).
 """
 
 from __future__ import annotations
 
+import importlib
+import json
 import struct
+from collections.abc import Callable, Iterator
+from types import ModuleType
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from py4j.protocol import Py4JError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..schemas import AVRO_EMPLOYEE, JSON_EMPLOYEE
 
@@ -21,6 +28,25 @@ REGISTRY_HEADER = 18
 SINGLE_OBJECT = b"\xc3\x01"
 
 
+def connector(name: str) -> ModuleType | None:
+    """Spark's functions for 'avro' or 'protobuf', or None where the connector's jar is absent."""
+    needed = {"avro": "org.apache.spark.sql.avro.AvroDataToCatalyst", "protobuf": "org.apache.spark.sql.protobuf.ProtobufDataToCatalyst"}[name]
+    try:
+        SparkSession.getActiveSession()._jvm.java.lang.Thread.currentThread().getContextClassLoader().loadClass(needed)
+    except Py4JError:
+        return None
+    return importlib.import_module(f"pyspark.sql.{name}.functions")
+
+
+def read_bytes(path: str) -> bytes:
+    """A small file of any file system that Spark reads, such as a descriptor set or a schema."""
+    return bytes(SparkSession.getActiveSession().read.format("binaryFile").load(path).first()["content"])
+
+
+def _structs(rows: list[dict | None], kind: T.StructType) -> pa.Array:
+    return pa.array(rows, to_arrow_type(kind, timestamp_utc=True))
+
+
 # Delimited changes: operation,account_id,balance,last_updated in epoch milliseconds.
 
 
@@ -56,7 +82,31 @@ def add_registry(value: Column, version_id: bytes) -> Column:
     return F.concat(F.lit(b"\x03\x00" + version_id), value)
 
 
-# Avro records of long, int and string fields
+# Avro records of primitive fields
+
+AVRO_KINDS = {
+    "long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "boolean": T.BooleanType(), "float": T.FloatType(), "double": T.DoubleType(), "bytes": T.BinaryType(),
+}
+
+
+def avro_fields(schema: str) -> list[tuple[str, str]]:
+    """(name, kind) of the fields of a record schema in JSON; a union of null and a primitive is its kind with '?'."""
+    out = []
+    for f in json.loads(schema)["fields"]:
+        kind = f["type"]
+        null = isinstance(kind, list) and kind[:1] == ["null"] and len(kind) == 2
+        kind = kind[1] if null else kind
+        kind = kind["type"] if isinstance(kind, dict) else kind  # a logical type is read as what it is built on
+        if kind not in AVRO_KINDS:
+            raise ValueError(f"field {f['name']}: {kind!r} is not supported without the connector")
+        out.append((f["name"], kind + "?" * null))
+    return out
+
+
+def avro_schema(fields=AVRO_EMPLOYEE) -> str:
+    """The JSON schema of a record with these fields."""
+    kinds = [{"name": n, "type": ["null", k[:-1]] if k.endswith("?") else k} for n, k in fields]
+    return json.dumps({"type": "record", "name": "Record", "fields": kinds})
 
 
 def _varint(n: int) -> bytes:
@@ -68,21 +118,29 @@ def _varint(n: int) -> bytes:
     return bytes(out)
 
 
+_FIXED = {"float": struct.Struct("<f"), "double": struct.Struct("<d"), "boolean": struct.Struct("<?")}
+
+
 def avro_encode_record(values: tuple, fields=AVRO_EMPLOYEE, fingerprint: bytes | None = None) -> bytes:
     out = [SINGLE_OBJECT + fingerprint] if fingerprint else []
     for (_, kind), v in zip(fields, values, strict=True):
-        if kind == "string":
-            data = v.encode()
+        if kind.endswith("?"):
+            out.append(_varint(int(v is not None)))
+            if v is None:
+                continue
+            kind = kind[:-1]
+        if kind in ("string", "bytes"):
+            data = v.encode() if kind == "string" else bytes(v)
             out += [_varint(len(data)), data]
         else:
-            out.append(_varint(int(v)))
+            out.append(_FIXED[kind].pack(v) if kind in _FIXED else _varint(int(v)))
     return b"".join(out)
 
 
 def avro_decode_record(data: bytes, fields=AVRO_EMPLOYEE) -> tuple:
     """A raw or single-object body; anything else raises ValueError."""
     at = 10 if data[:2] == SINGLE_OBJECT else 0
-    out = []
+    out: list = []
 
     def number() -> int:
         nonlocal at
@@ -97,14 +155,28 @@ def avro_decode_record(data: bytes, fields=AVRO_EMPLOYEE) -> tuple:
                 return (n >> 1) ^ -(n & 1)
             shift += 7
 
+    def take(n: int) -> bytes:
+        nonlocal at
+        if n < 0 or at + n > len(data):
+            raise ValueError("bad length")
+        at += n
+        return data[at - n : at]
+
     for _, kind in fields:
-        n = number()
-        if kind == "string":
-            if n < 0 or at + n > len(data):
-                raise ValueError("bad string")
-            out.append(data[at : at + n].decode())
-            at += n
+        if kind.endswith("?"):
+            branch, kind = number(), kind[:-1]
+            if branch not in (0, 1):
+                raise ValueError("bad union")
+            if not branch:
+                out.append(None)
+                continue
+        if kind in ("string", "bytes"):
+            body = take(number())
+            out.append(body.decode() if kind == "string" else body)
+        elif kind in _FIXED:
+            out.append(_FIXED[kind].unpack(take(_FIXED[kind].size))[0])
         else:
+            n = number()
             if kind == "int" and not -(2**31) <= n < 2**31:
                 raise ValueError("not an int")
             out.append(n)
@@ -113,27 +185,27 @@ def avro_decode_record(data: bytes, fields=AVRO_EMPLOYEE) -> tuple:
     return tuple(out)
 
 
-def _avro_type(fields) -> T.StructType:
-    kinds = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType()}
-    return T.StructType([T.StructField(n, kinds[k]) for n, k in fields])
-
-
 def from_avro(value: Column, fields=AVRO_EMPLOYEE, mode: str = "PERMISSIVE") -> Column:
-    """PERMISSIVE: a malformed message gives a struct of nulls; FAILFAST: it fails the query."""
+    """A record, raw or in single-object framing. PERMISSIVE: a malformed message gives nulls; FAILFAST: it fails the query."""
+    if (spark := connector("avro")) is not None:
+        framed = F.substring(value, 1, len(SINGLE_OBJECT)) == F.lit(SINGLE_OBJECT)
+        body = F.when(framed, F.substring(value, len(SINGLE_OBJECT) + 9, 2**31 - 1)).otherwise(value)
+        return spark.from_avro(body, avro_schema(fields), {"mode": mode})
     names = [n for n, _ in fields]
+    kind = T.StructType([T.StructField(n, AVRO_KINDS[k.removesuffix("?")]) for n, k in fields])
 
-    @F.pandas_udf(_avro_type(fields))
-    def decode(bodies: pd.Series) -> pd.DataFrame:
-        rows = []
-        for b in bodies:
-            try:
-                rows.append((None,) * len(names) if b is None else avro_decode_record(bytes(b), fields))
-            except (ValueError, UnicodeDecodeError):
-                if mode != "PERMISSIVE":
-                    raise
-                rows.append((None,) * len(names))
-        frame = pd.DataFrame(rows, columns=names, dtype=object)
-        return frame.astype({n: {"long": "Int64", "int": "Int32", "string": object}[k] for n, k in fields})
+    def one(body: bytes | None) -> dict | None:
+        try:
+            return None if body is None else dict(zip(names, avro_decode_record(body, fields), strict=True))
+        except (ValueError, UnicodeDecodeError):
+            if mode != "PERMISSIVE":
+                raise
+            return None
+
+    @F.arrow_udf(kind)
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for bodies in batches:
+            yield _structs([one(b) for b in bodies.to_pylist()], kind)
 
     return decode(value)
 
@@ -152,8 +224,7 @@ def to_avro(columns: list[Column], fields=AVRO_EMPLOYEE, fingerprint: bytes | No
 def descriptor_bytes(path: str | None = None, hexadecimal: str | None = None) -> bytes:
     if hexadecimal is not None:
         return bytes.fromhex(hexadecimal)
-    with open(path, "rb") as f:
-        return f.read()
+    return read_bytes(path)
 
 
 def employee_descriptor_set() -> bytes:
@@ -203,53 +274,86 @@ def message_class(descriptors: bytes, name: str):
     return message_factory.GetMessageClass(pool.FindMessageTypeByName(found))
 
 
-EMPLOYEE_STRUCT = "id int, name string, address string, employee_age struct<value:int>, start_date timestamp, team struct<name:string,location:string>, role string"
+def _field(field) -> tuple[T.DataType, Callable]:
+    """The Spark type of one value of a Protobuf field, and what makes it of the value."""
+    kinds = {
+        field.CPPTYPE_INT32: T.IntegerType(), field.CPPTYPE_UINT32: T.LongType(), field.CPPTYPE_INT64: T.LongType(), field.CPPTYPE_UINT64: T.DecimalType(20, 0),
+        field.CPPTYPE_DOUBLE: T.DoubleType(), field.CPPTYPE_FLOAT: T.FloatType(), field.CPPTYPE_BOOL: T.BooleanType(),
+    }
+    if field.cpp_type in kinds:
+        return kinds[field.cpp_type], lambda v: v
+    if field.cpp_type == field.CPPTYPE_STRING:
+        return (T.BinaryType() if field.type == field.TYPE_BYTES else T.StringType()), lambda v: v
+    if field.cpp_type == field.CPPTYPE_ENUM:
+        names = {n: x.name for n, x in field.enum_type.values_by_number.items()}
+        return T.StringType(), lambda v: names.get(v) or str(v)
+    if field.message_type.full_name == "google.protobuf.Timestamp":
+        return T.TimestampType(), lambda v: v.seconds * 1_000_000 + v.nanos // 1000
+    return message_reader(field.message_type)
+
+
+def message_reader(descriptor) -> tuple[T.StructType, Callable]:
+    """The struct of a Protobuf message, and a function from a message to its values by name.
+
+    Absent messages (wrappers among them) and unset optional scalars are null, other unset scalars have their defaults, enums their names.
+    """
+    kinds, readers = [], []
+    for field in descriptor.fields:
+        name, repeated = field.name, field.is_repeated if hasattr(field, "is_repeated") else field.label == field.LABEL_REPEATED
+        if repeated and field.message_type is not None and field.message_type.GetOptions().map_entry:
+            (key, _), (kind, one) = (_field(field.message_type.fields_by_name[x]) for x in ("key", "value"))
+            kinds.append(T.StructField(name, T.MapType(key, kind)))
+            readers.append((name, lambda m, name=name, one=one: [(k, one(v)) for k, v in getattr(m, name).items()]))
+            continue
+        kind, one = _field(field)
+        if repeated:
+            kinds.append(T.StructField(name, T.ArrayType(kind)))
+            readers.append((name, lambda m, name=name, one=one: [one(v) for v in getattr(m, name)]))
+        else:
+            kinds.append(T.StructField(name, kind))
+            presence = field.has_presence
+            readers.append((name, lambda m, name=name, one=one, presence=presence: None if presence and not m.HasField(name) else one(getattr(m, name))))
+    return T.StructType(kinds), lambda m: {name: read(m) for name, read in readers}
 
 
 def from_protobuf(value: Column, descriptors: bytes, message: str = "Employee", mode: str = "FAILFAST") -> Column:
-    """The employee message as a struct: absent wrappers are null, unset scalars have their defaults, enums their names.
-
-    FAILFAST: a malformed message fails the query; PERMISSIVE: it gives nulls.
-    """
+    """A message of a descriptor set as a struct, see `message_reader`. FAILFAST: a malformed message fails the query; PERMISSIVE: it gives nulls."""
+    if (spark := connector("protobuf")) is not None:
+        return spark.from_protobuf(value, message, options={"mode": mode, "emit.default.values": "true"}, binaryDescriptorSet=descriptors)
+    kind, _ = message_reader(message_class(descriptors, message).DESCRIPTOR)
 
-    @F.pandas_udf(EMPLOYEE_STRUCT)
-    def decode(bodies: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(kind)
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from google.protobuf.message import DecodeError
 
         made = message_class(descriptors, message)
-        roles = made.DESCRIPTOR.fields_by_name["role"].enum_type.values_by_number
-        rows = []
-        for b in bodies:
+        _, read = message_reader(made.DESCRIPTOR)
+
+        def one(body: bytes | None) -> dict | None:
             try:
-                if b is None:
-                    rows.append((None,) * 7)
-                    continue
-                m = made.FromString(bytes(b))
+                return None if body is None else read(made.FromString(body))
             except DecodeError:
                 if mode != "PERMISSIVE":
                     raise
-                rows.append((None,) * 7)
-                continue
-            stamp = pd.Timestamp(m.start_date.seconds * 1_000_000_000 + m.start_date.nanos, unit="ns", tz="UTC") if m.HasField("start_date") else pd.NaT
-            age = {"value": m.employee_age.value} if m.HasField("employee_age") else None
-            team = {"name": m.team.name, "location": m.team.location} if m.HasField("team") else None
-            rows.append((m.id, m.name, m.address, age, stamp, team, roles[m.role].name if m.role in roles else str(m.role)))
-        frame = pd.DataFrame(rows, columns=["id", "name", "address", "employee_age", "start_date", "team", "role"], dtype=object)
-        return frame.astype({"id": "Int32", "start_date": "datetime64[ns, UTC]"})
+                return None
+
+        for bodies in batches:
+            yield _structs([one(b) for b in bodies.to_pylist()], kind)
 
     return decode(value)
 
 
 def to_protobuf(employee_id: Column, name: Column, address: Column, age: Column, start_date: Column, team: Column, role: Column) -> Column:
+    """Employee messages. A role is the name of one, or the number of an unknown one; anything else raises ValueError."""
     descriptors = employee_descriptor_set()
 
     @F.pandas_udf(T.BinaryType())
     def encode(ids: pd.Series, names: pd.Series, addresses: pd.Series, ages: pd.Series, micros: pd.Series, teams: pd.Series, roles: pd.Series) -> pd.Series:
         made = message_class(descriptors, "Employee")
-        numbers = made.DESCRIPTOR.fields_by_name["role"].enum_type.values_by_name
+        numbers = {x.name: n for n, x in made.DESCRIPTOR.fields_by_name["role"].enum_type.values_by_number.items()}
         out = []
         for i, n, a, g, s, t, r in zip(ids, names, addresses, ages, micros, teams, roles, strict=True):
-            m = made(id=int(i), name=n or "", address=a or "", role=numbers[r].number if r else 0)
+            m = made(id=int(i), name=n or "", address=a or "", role=numbers[r] if r in numbers else int(r or 0))
             if not pd.isna(g):
                 m.employee_age.value = int(g)
             if not pd.isna(s):

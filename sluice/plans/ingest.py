@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,19 +10,24 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import codecs
 from ..operators.dedup import first_of_each
-from ..schemas import CHANGELOG, CHANGELOG_SPEC, EMPLOYEE, EMPLOYEE_SPEC
+from ..schemas import AVRO_EMPLOYEE, CHANGELOG, CHANGELOG_SPEC, EMPLOYEE, EMPLOYEE_SPEC
 from ..sources.log import read_stream
 from ..sources.snapshot_table import SnapshotTable
 from ..streaming.jobs import append_stream, merge_ingest, watermark_ingest
 
 
-def decode(messages: DataFrame, form: str, *, framed: bool = False, descriptors: bytes | None = None, mode: str = "PERMISSIVE") -> DataFrame:
-    """The typed columns of log rows whose value is 'protobuf', 'avro', 'json' or 'change' (delimited)."""
+def decode(
+    messages: DataFrame, form: str, *, framed: bool = False, descriptors: bytes | None = None, fields: list[tuple[str, str]] = AVRO_EMPLOYEE, mode: str = "PERMISSIVE"
+) -> DataFrame:
+    """The typed columns of log rows whose value is 'protobuf', 'avro', 'json' or 'change' (delimited).
+
+    descriptors, fields: the Protobuf descriptor set and the Avro fields, where they are not those of this library.
+    """
     value = codecs.strip_registry(F.col("value")) if framed else F.col("value")
     if form == "protobuf":
         return codecs.flatten_employee(messages.select(codecs.from_protobuf(value, descriptors or codecs.employee_descriptor_set(), mode=mode).alias("Employee")))
     if form == "avro":
-        e = messages.select(codecs.from_avro(value, mode=mode).alias("Employee")).select("Employee.*")
+        e = messages.select(codecs.from_avro(value, fields, mode=mode).alias("Employee")).select("Employee.*")
         return e.withColumn("start_date", F.timestamp_millis("start_date")).select("employee_id", "age", "start_date", "team", "role", "address", "name")
     if form == "json":
         return messages.select(codecs.parse_json(value).alias("Employee")).select("Employee.*")
@@ -44,9 +49,10 @@ class Job:
     every: str | None = None  # none: take what is there, then end
     max_files: int | None = None
     starting: str = "latest"
+    options: dict[str, str] = field(default_factory=dict)  # of the log's reader
 
     def messages(self, spark: SparkSession) -> DataFrame:
-        return read_stream(spark, self.log, bootstrap=self.bootstrap, topic=self.topic, max_files=self.max_files, starting=self.starting)
+        return read_stream(spark, self.log, bootstrap=self.bootstrap, topic=self.topic, max_files=self.max_files, starting=self.starting, **self.options)
 
 
 def employee_table(spark: SparkSession, path: str, spec: list[str] = EMPLOYEE_SPEC, properties: dict[str, str] | None = None) -> SnapshotTable:
@@ -60,12 +66,10 @@ def ingest_watermark(spark: SparkSession, job: Job, form: str = "protobuf", dedu
     return run(rows, employee_table(spark, job.table), name=job.name, checkpoint=job.checkpoint, every=job.every)
 
 
-def ingest_merge(spark: SparkSession, job: Job, form: str = "protobuf", *, dedup: bool = True, compaction: bool = False, target_filter=lambda: None, dedup_within: bool = False, **decoding) -> StreamingQuery:
-    """Decode, then an insert-only MERGE of each batch."""
+def ingest_merge(spark: SparkSession, job: Job, form: str = "protobuf", *, merging: dict | None = None, **decoding) -> StreamingQuery:
+    """Decode, then an insert-only MERGE of each batch. merging: options of merge_ingest."""
     rows = decode(job.messages(spark), form, **decoding)
-    return merge_ingest(
-        rows, employee_table(spark, job.table), name=job.name, checkpoint=job.checkpoint, every=job.every, dedup=dedup, compaction=compaction, target_filter=target_filter, dedup_within=dedup_within
-    )
+    return merge_ingest(rows, employee_table(spark, job.table), name=job.name, checkpoint=job.checkpoint, every=job.every, **(merging or {}))
 
 
 def ingest_changelog(spark: SparkSession, job: Job) -> StreamingQuery:

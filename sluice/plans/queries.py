@@ -19,7 +19,6 @@ from ..operators.dedup import affected_partitions
 from ..operators.maintenance import rewrite_data_files
 from ..operators.merge import insert_only, latest_change, mirror_merge
 from ..schemas import CHANGELOG, CHANGELOG_SPEC, MIRROR, MIRROR_SPEC
-from ..sources.generate import account_changes, employees
 from ..sources.log import append_messages, read_batch, read_stream
 from ..sources.snapshot_table import SnapshotTable
 from ..streaming.jobs import append_stream, merge_ingest, watermark_ingest
@@ -94,8 +93,8 @@ def employees_of(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").alias("start_date"),
         F.col("event_type").alias("team"),
         F.lit("ARCHITECT").alias("role"),
-        F.lit("Melbourne, Australia").alias("address"),
-        F.concat(F.lit("Dummy"), (F.col("user_id") % 100).cast("string")).alias("name"),
+        F.lit("12 Harbour Road").alias("address"),
+        F.concat(F.lit("Person "), (F.col("user_id") % 100).cast("string")).alias("name"),
     )
 
 
@@ -295,6 +294,17 @@ def proto_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT employee_id, proto(value) AS name FROM sluice_messages")
 
 
+def proto_udf_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same function in SQL over a view of a stream, whose rows are appended to a table."""
+    codecs.register_name_udf(spark, codecs.employee_descriptor_set())
+    path = _log(spark, employees_of(spark, sf_dir), proto_value(), "employees")
+    read_stream(spark, path, topic="employees").createOrReplaceTempView("sluice_message_stream")
+    names = spark.sql("SELECT partition, proto(value) AS name FROM sluice_message_stream")
+    made = SnapshotTable.create(spark, fresh_path(spark, "names"), names.schema)
+    append_stream(names, made, name="proto-udf", checkpoint=fresh_path(spark, "checkpoint")).awaitTermination()
+    return made.scan().select("name")
+
+
 def avro_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = employees_of(spark, sf_dir).withColumn("age", F.coalesce("age", F.lit(0)))
     fields = [F.col("employee_id"), F.col("age"), F.unix_millis("start_date"), F.col("team"), F.col("role"), F.col("address"), F.col("name")]
@@ -308,7 +318,7 @@ def json_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = F.to_json(F.struct(F.col("user_id").cast("int").alias("employeeId"), F.lit("Dummy").alias("name"))).cast("binary")
+    body = F.to_json(F.struct(F.col("user_id").cast("int").alias("employeeId"), F.lit("Person").alias("name"))).cast("binary")
     return decode(events(spark, sf_dir).select(codecs.add_registry(body, bytes(range(16))).alias("value")), "json", framed=True)
 
 
@@ -321,15 +331,6 @@ def partition_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("event_id", bucket(8, F.col("user_id")).alias("user_bucket"), hours(F.col("ts")).alias("ts_hours"), days(F.col("ts")).alias("ts_days"))
 
 
-def generated_employees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return employee_rows(employees(spark, 100_000, datetime(2024, 1, 30, 12)))
-
-
-def generated_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = account_changes(spark, 100_000, datetime(2024, 1, 30, 12), operations=("U", "I", "D", None))
-    return made.select("operation", "account_id", "balance", plain("last_updated"))
-
-
 QUERIES = {
     "cdc_latest_change": cdc_latest_change,
     "cdc_mirror_merge": cdc_mirror_merge,
@@ -362,8 +363,7 @@ QUERIES = {
     "json_registry": json_registry,
     "orders_latest_status": orders_latest_status,
     "partition_transforms": partition_transforms,
-    "generated_employees": generated_employees,
-    "generated_changes": generated_changes,
+    "proto_udf_stream": proto_udf_stream,
 }
 
 
@@ -406,11 +406,11 @@ def _mirror_sql(where: str) -> str:
 _SINCE = f"last_updated > TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY"
 _EVENTS = "SELECT event_id, ts, user_id, event_type, value, props FROM events"
 _EMPLOYEES = """SELECT user_id AS employee_id, CASE WHEN event_id % 10 <> 0 THEN CAST(event_id % 99 AS INTEGER) END AS age, ts AS start_date,
-    event_type AS team, 'ARCHITECT' AS role, 'Melbourne, Australia' AS address, 'Dummy' || CAST(user_id % 100 AS VARCHAR) AS name FROM events"""
+    event_type AS team, 'ARCHITECT' AS role, '12 Harbour Road' AS address, 'Person ' || CAST(user_id % 100 AS VARCHAR) AS name FROM events"""
 _NOT_KNOWN = f"""NOT EXISTS (SELECT 1 FROM events t WHERE s.user_id = t.user_id AND s.ts = t.ts
     AND t.ts > TIMESTAMP '{HOT_SINCE}' AND t.event_type = '{HOT_TEAM}')"""
 _AVRO = """SELECT user_id AS employee_id, CASE WHEN event_id % 10 <> 0 THEN CAST(event_id % 99 AS INTEGER) ELSE 0 END AS age, date_trunc('milliseconds', ts) AS start_date,
-    event_type AS team, 'ARCHITECT' AS role, 'Melbourne, Australia' AS address, 'Dummy' || CAST(user_id % 100 AS VARCHAR) AS name FROM events"""
+    event_type AS team, 'ARCHITECT' AS role, '12 Harbour Road' AS address, 'Person ' || CAST(user_id % 100 AS VARCHAR) AS name FROM events"""
 
 ORACLE_SQL = {
     "cdc_latest_change": f"WITH {_CHANGES}, {_latest_sql(_SINCE)} SELECT account_id, balance, operation, last_updated FROM latest",
@@ -442,10 +442,11 @@ ORACLE_SQL = {
     "log_batch_scan": "SELECT event_id, event_type FROM events",
     "proto_flatten": _EMPLOYEES,
     "proto_hex": _EMPLOYEES,
-    "proto_udf": "SELECT user_id AS employee_id, 'Dummy' || CAST(user_id % 100 AS VARCHAR) AS name FROM events",
+    "proto_udf": "SELECT user_id AS employee_id, 'Person ' || CAST(user_id % 100 AS VARCHAR) AS name FROM events",
+    "proto_udf_stream": "SELECT 'Person ' || CAST(user_id % 100 AS VARCHAR) AS name FROM events",
     "avro_flatten": f"{_AVRO} UNION ALL {_AVRO}",
     "json_decode": "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events",
-    "json_registry": "SELECT CAST(user_id AS INTEGER) AS \"employeeId\", 'Dummy' AS name FROM events",
+    "json_registry": "SELECT CAST(user_id AS INTEGER) AS \"employeeId\", 'Person' AS name FROM events",
     "orders_latest_status": """SELECT o_custkey, o_orderkey, o_orderstatus, o_orderdate FROM (
         SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1""",
     "partition_transforms": f"""SELECT event_id, user_bucket, CAST(epoch_us(ts) // 3600000000 AS INTEGER) AS ts_hours,

@@ -1,4 +1,4 @@
-"""Schemas of messages and tables."""
+"""Schemas of messages and tables. Names, types and order are those of the known tables and messages."""
 
 #: The row of a message log.
 LOG_ROW = "key binary, value binary, topic string, partition int, offset bigint, timestamp timestamp, timestampType int"

@@ -13,6 +13,7 @@ class Settings:
     master: str | None = None
     shuffle_partitions: int | None = None  # left to Spark and adaptive execution unless set
     rocksdb_state: bool = True
+    concurrent_writers: int = 0  # files that a task keeps open to write partitions without sorting them first
     extra: dict[str, str] = field(default_factory=dict)
 
 
@@ -23,5 +24,7 @@ def session(settings: Settings | None = None) -> SparkSession:
         conf["spark.sql.streaming.stateStore.providerClass"] = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     if s.shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(s.shuffle_partitions)
+    if s.concurrent_writers:
+        conf["spark.sql.maxConcurrentOutputFileWriters"] = str(s.concurrent_writers)
     builder = SparkSession.builder.appName(s.app).config(map=conf | s.extra)
     return (builder.master(s.master) if s.master else builder).getOrCreate()

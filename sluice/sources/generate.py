@@ -30,10 +30,10 @@ def employees(spark: SparkSession, rows: int, now: datetime, *, seed: int = 0, l
         _draw(seed, "employee", ids).alias("employee_id"),
         _draw(seed, "age", 99).cast("int").alias("age"),
         stamp.alias("start_date"),
-        F.lit("Solutions Architects").alias("team"),
+        F.lit("Platform").alias("team"),
         F.lit("ARCHITECT").alias("role"),
-        F.lit("Melbourne, Australia").alias("address"),
-        F.concat(F.lit("Dummy"), _draw(seed, "name", 100).cast("string")).alias("name"),
+        F.lit("12 Harbour Road").alias("address"),
+        F.concat(F.lit("Person "), _draw(seed, "name", 100).cast("string")).alias("name"),
     )
 
 
@@ -50,5 +50,5 @@ def account_changes(spark: SparkSession, rows: int, now: datetime, *, seed: int
 
 def json_employees(spark: SparkSession, rows: int = 1000) -> DataFrame:
     """key, value: JSON messages with sequential ids and keys `key-<n>`."""
-    value = F.to_json(F.struct(F.col("id").cast("int").alias("employeeId"), F.lit("Dummy").alias("name")))
+    value = F.to_json(F.struct(F.col("id").cast("int").alias("employeeId"), F.lit("Person").alias("name")))
     return spark.range(rows).select(F.concat(F.lit("key-"), F.col("id").cast("string")).alias("key"), value.alias("value"))

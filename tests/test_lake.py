@@ -357,4 +357,4 @@ def test_generators(spark):
     changes = account_changes(spark, 1000, T0, operations=("U", "D", None))
     assert {r[0] for r in changes.select("operation").distinct().collect()} == {"U", "D", None}
     assert changes.agg(F.max("last_updated")).first()[0] == T0
-    assert json_employees(spark, 3).select("value").first()[0] == '{"employeeId":0,"name":"Dummy"}'
+    assert json_employees(spark, 3).select("value").first()[0] == '{"employeeId":0,"name":"Person"}'
