@@ -30,7 +30,7 @@ def host_of(url: Column) -> Column:
 
 def html_lines(html: Column) -> Column:
     """The non-empty text lines of a page: scripts, styles and comments go, block elements break lines."""
-    body = F.regexp_replace(F.coalesce(html, F.lit("")), "(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", " ")
+    body = F.regexp_replace(F.coalesce(html, F.lit("")), "(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", " ")
     body = F.regexp_replace(body, f"(?i)</?({BLOCKS})( [^>]*)?/?>", "\n")
     body = F.regexp_replace(body, "<[^>]*>", "")
     lines = F.transform(F.split(body, "[\r\n]+"), lambda x: F.trim(F.regexp_replace(x, "[ \t]+", " ")))

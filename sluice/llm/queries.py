@@ -95,7 +95,7 @@ ORACLE_SQL = {
         WITH bodies AS (
           SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS host,
                  regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
-                   '(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g'),
+                   '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g'),
                    '(?i)</?({BLOCKS})( [^>]*)?/?>', chr(10), 'g'), '<[^>]*>', '', 'g') AS body
           FROM pages),
         pages_ AS (

@@ -72,7 +72,7 @@ def test_exact_dedup_keeps_columns_and_one_row_of_each_text(spark):
 
 
 def test_line_dedup_drops_only_the_lines_of_the_host(spark):
-    rows = [(i, f"https://a.example/{i}", f"<nav>menu</nav><p>body {i}</p><script>x</script>") for i in range(20)]
+    rows = [(i, f"https://a.example/{i}", f"<nav>menu</nav><p>body {i}</p><SCRIPT src='a'>x\nvar y</Script><style>z</style>") for i in range(20)]
     rows += [(100 + i, f"https://b.example/{i}", f"<p>menu</p><p>other {i}</p>") for i in range(2)]
     rows += [(200, None, None), (201, "no address", "<p>menu<br>x</p>")]
     got = {r.page_id: r for r in line_dedup(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
