@@ -8,7 +8,7 @@
    run of pieces its successor, the smallest gap that holds it and that no longer piece has taken; what a range can't match meets the
    other ranges in a second sweep, which is the same matching as one sweep over all. Rank resolves conflicts: the k-th piece of a run takes the
    k-th sequence, one sequence as many as fit. Then gaps are updated, and the rounds repeat until every piece is placed.
-4. Lengths that no gap can hold open new sequences before a sweep: those of which fewer than MIXED fit in one, only the longest
+4. Lengths that no gap can hold open new sequences after a sweep: those of which fewer than MIXED fit in one, only the longest
    class at a time (what half a sequence holds, what a third holds), so that shorter ones find the gaps; all shorter ones at once.
 5. Each piece finds its sequence by its rank, in parallel.
 
@@ -36,7 +36,7 @@ from .tokens import encoder, slices
 
 #: A row of a round. piece: a run of n pieces of length `size` from rank `first`. gap: a run of n sequences with `size` left, from number
 #: `first`; new: one that this round has made. plan: n pieces of `length` from rank `rank`, `fit` to a sequence, from number `first`
-#: on, where `size` was left.
+#: on, where `size` was left. next: `first` is the number of the next sequence to open.
 RUN = "kind string, size long, first long, n long, length long, rank long, fit long"
 #: Ranges of sizes that are swept in parallel.
 RANGES = 8
@@ -83,30 +83,40 @@ def sweep(runs: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([r for r in out if r[3] and (r[1] or r[0] != "new")], columns=names)
 
 
+def settle(runs: pd.DataFrame, capacity: int) -> pd.DataFrame:
+    """The end of a round: a sweep over what the ranges have left, then new sequences for pieces that no gap can hold."""
+    swept = sweep(runs)
+    piece, gap = swept["kind"] == "piece", swept["kind"].isin(["gap", "new"])
+    top = swept["size"][piece].max() if piece.any() else 0
+    stuck = piece & (swept["size"] > (swept["size"][gap].max() if gap.any() else 0))
+    if not stuck.any():
+        return swept
+    fit = capacity // top
+    if fit < MIXED:
+        stuck &= capacity // swept["size"].clip(lower=1) == fit
+        need = -(-swept["n"][stuck].sum() // fit)
+    else:
+        need = -(-(swept["size"] * swept["n"])[stuck].sum() // capacity)
+    head = swept["kind"] == "next"
+    number = int(swept["first"][head].iloc[0])
+    opened = pd.DataFrame([("gap", capacity, number, int(need), 0, 0, 0)], columns=swept.columns)
+    swept.loc[head, "first"] = number + int(need)
+    return pd.concat([swept[~stuck], sweep(pd.concat([swept[stuck], opened]))])
+
+
 def pack_runs(counts: DataFrame, capacity: int) -> np.ndarray:
     """Rows (length, first rank, pieces, first sequence, pieces to a sequence, offset) for the pieces counted by (length, n)."""
     spark = counts.sparkSession
     none = [F.lit(0).cast("bigint").alias(c) for c in ("length", "rank", "fit")]
     start = counts.select(F.lit("piece").alias("kind"), F.col("length").alias("size"), F.lit(0).cast("bigint").alias("first"), "n", *none)
-    rounds, state, opened = [], materialize(start, "runs"), 0
-    rounds.append(state)
-    is_piece, size = F.col("kind") == "piece", F.col("size")
-    while (top := (at := state.agg(F.max(F.when(is_piece, size)), F.max(F.when(~is_piece, size))).first())[0]) is not None:
-        runs = state
-        if top > (at[1] or 0):
-            stuck = state.where(is_piece & (size > (at[1] or 0)))
-            fit = capacity // top
-            if fit < MIXED:
-                stuck, need = stuck.where(F.floor(F.lit(capacity) / size) == fit), F.ceil(F.sum("n") / fit)
-            else:
-                need = F.ceil(F.sum(size * F.col("n")) / capacity)
-            n = stuck.agg(need).first()[0]
-            runs = runs.unionByName(spark.createDataFrame([("gap", capacity, opened, n, 0, 0, 0)], RUN))
-            opened += n
-        swept = runs.groupBy(F.floor(size * RANGES / (capacity + 1))).applyInPandas(sweep, RUN).groupBy().applyInPandas(sweep, RUN)
+    state = materialize(start.unionByName(spark.createDataFrame([("next", 0, 0, 1, 0, 0, 0)], RUN)), "runs")
+    rounds = [state]
+    while not state.where("kind = 'piece'").isEmpty():
+        by_range = F.floor(F.col("size") * RANGES / (capacity + 1))
+        swept = state.groupBy(by_range).applyInPandas(sweep, RUN).groupBy().applyInPandas(lambda runs: settle(runs, capacity), RUN)
         rounds.append(materialize(swept, "runs"))
-        state = rounds[-1].where("kind != 'plan'").withColumn("kind", F.when(is_piece, "piece").otherwise("gap"))
-    plan = [r for made in rounds for r in made.where("kind = 'plan'").select("length", "rank", "n", "first", "fit", capacity - size).collect()]
+        state = rounds[-1].where("kind != 'plan'").withColumn("kind", F.when(F.col("kind") == "new", "gap").otherwise(F.col("kind")))
+    plan = [r for made in rounds for r in made.where("kind = 'plan'").select("length", "rank", "n", "first", "fit", capacity - F.col("size")).collect()]
     discard(*rounds)
     return np.array(plan, np.int64).reshape(-1, 6)
 
