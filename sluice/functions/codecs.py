@@ -348,7 +348,15 @@ def to_protobuf(employee_id: Column, name: Column, address: Column, age: Column,
     descriptors = employee_descriptor_set()
 
     @F.pandas_udf(T.BinaryType())
-    def encode(ids: pd.Series, names: pd.Series, addresses: pd.Series, ages: pd.Series, micros: pd.Series, teams: pd.Series, roles: pd.Series) -> pd.Series:
+    def encode(
+        ids: pd.Series,
+        names: pd.Series,
+        addresses: pd.Series,
+        ages: pd.Series,
+        micros: pd.Series,
+        teams: pd.Series,
+        roles: pd.Series,
+    ) -> pd.Series:
         made = message_class(descriptors, "Employee")
         numbers = {x.name: n for n, x in made.DESCRIPTOR.fields_by_name["role"].enum_type.values_by_number.items()}
         out = []

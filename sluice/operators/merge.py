@@ -29,7 +29,13 @@ def latest_change(changes: DataFrame, key: str, order: list[Column], since: Colu
     return rows.withColumn("_rank", F.row_number().over(top)).where("_rank = 1").drop("_rank")
 
 
-def mirror_merge(mirror: DataFrame, latest: DataFrame, key: str = "account_id", columns: tuple[str, ...] = ("balance", "last_updated"), operation: str = "operation") -> DataFrame:
+def mirror_merge(
+    mirror: DataFrame,
+    latest: DataFrame,
+    key: str = "account_id",
+    columns: tuple[str, ...] = ("balance", "last_updated"),
+    operation: str = "operation",
+) -> DataFrame:
     """The mirror after one change a key: matched deletes go, other matches update, unmatched rows insert unless they delete.
 
     A null operation updates a match and inserts nothing. Clauses apply in that order.

@@ -41,7 +41,13 @@ def merge_into_mirror(
         latest.unpersist()
 
 
-def mirror_changes(changelog: DataFrame, mirror: SnapshotTable, since: Column | None = None, key: str = "account_id", mode: str = "copy-on-write") -> int:
+def mirror_changes(
+    changelog: DataFrame,
+    mirror: SnapshotTable,
+    since: Column | None = None,
+    key: str = "account_id",
+    mode: str = "copy-on-write",
+) -> int:
     """Brings the mirror to the latest change of each key among the changelog rows that meet `since`."""
     return merge_into_mirror(mirror, latest_change(changelog, key, newest_first(), since), key, mode)
 
@@ -51,7 +57,13 @@ def watermark_of(mirror: SnapshotTable, source: str) -> int | None:
     return mirror.progress().get(f"watermark:{source}")
 
 
-def incremental_mirror(changelog: SnapshotTable, mirror: SnapshotTable, source: str = "accounts_changelog", key: str = "account_id", mode: str = "copy-on-write") -> int | None:
+def incremental_mirror(
+    changelog: SnapshotTable,
+    mirror: SnapshotTable,
+    source: str = "accounts_changelog",
+    key: str = "account_id",
+    mode: str = "copy-on-write",
+) -> int | None:
     """Merges what the changelog has got since the last run; data and watermark are one commit.
 
     The first run reads all of it; without new snapshots nothing is committed.

@@ -17,7 +17,16 @@ def _draw(seed: int, purpose: str, below: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.lit(purpose), "id"), F.lit(below))
 
 
-def employees(spark: SparkSession, rows: int, now: datetime, *, seed: int = 0, late: bool = True, repeats: bool = True, ids: int = 100_000) -> DataFrame:
+def employees(
+    spark: SparkSession,
+    rows: int,
+    now: datetime,
+    *,
+    seed: int = 0,
+    late: bool = True,
+    repeats: bool = True,
+    ids: int = 100_000,
+) -> DataFrame:
     """Rows of the employee table. One in LATE_EVERY is an hour old, one in REPEAT_EVERY occurs twice."""
     stamp = F.lit(now).cast("timestamp")
     if late:
@@ -37,7 +46,15 @@ def employees(spark: SparkSession, rows: int, now: datetime, *, seed: int = 0, l
     )
 
 
-def account_changes(spark: SparkSession, rows: int, now: datetime, *, seed: int = 0, accounts: int = 10_000, operations: tuple[str | None, ...] = ("U",)) -> DataFrame:
+def account_changes(
+    spark: SparkSession,
+    rows: int,
+    now: datetime,
+    *,
+    seed: int = 0,
+    accounts: int = 10_000,
+    operations: tuple[str | None, ...] = ("U",),
+) -> DataFrame:
     """Rows of the changelog, one millisecond apart, ending at `now`; operations are dealt evenly."""
     choice = F.array(*[F.lit(o).cast("string") for o in operations])
     return spark.range(rows).select(

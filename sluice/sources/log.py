@@ -8,7 +8,17 @@ from pyspark.sql import functions as F
 from ..schemas import LOG_ROW
 
 
-def append_messages(rows: DataFrame, path: str, *, topic: str, value: Column, key: Column | None = None, partitions: int = 8, timestamp: Column | None = None, first_offset: int = 0) -> None:
+def append_messages(
+    rows: DataFrame,
+    path: str,
+    *,
+    topic: str,
+    value: Column,
+    key: Column | None = None,
+    partitions: int = 8,
+    timestamp: Column | None = None,
+    first_offset: int = 0,
+) -> None:
     """Appends one message a row. Offsets start at first_offset, unique and ascending within one append, though not dense."""
     number = F.monotonically_increasing_id() + F.lit(first_offset)
     stamp = timestamp if timestamp is not None else F.current_timestamp()
@@ -23,7 +33,16 @@ def append_messages(rows: DataFrame, path: str, *, topic: str, value: Column, ke
     ).write.mode("append").parquet(path)
 
 
-def read_stream(spark: SparkSession, path: str | None = None, *, bootstrap: str | None = None, topic: str | None = None, max_files: int | None = None, starting: str = "latest", **options: str) -> DataFrame:
+def read_stream(
+    spark: SparkSession,
+    path: str | None = None,
+    *,
+    bootstrap: str | None = None,
+    topic: str | None = None,
+    max_files: int | None = None,
+    starting: str = "latest",
+    **options: str,
+) -> DataFrame:
     """A stream of log rows: from Kafka if bootstrap is given, else from the segments in `path`, which always begins with the earliest.
 
     options go to the reader as they are: the offsets a batch may take, partitions to read in parallel, what to do about lost data.
