@@ -35,11 +35,11 @@ from .common import discard, materialize, text_or_empty
 from .tokens import encoder, slices
 
 #: A row of a round. piece: a run of n pieces of length `size` from rank `first`. gap: a run of n sequences with `size` left, from number
-#: `first`; new: one that this round has made. plan: n pieces of `length` from rank `rank`, `fit` to a sequence, from number `first`
+#: `first`; new: one that this sweep has made. plan: n pieces of `length` from rank `rank`, `fit` to a sequence, from number `first`
 #: on, where `size` was left. next: `first` is the number of the next sequence to open.
 RUN = "kind string, size long, first long, n long, length long, rank long, fit long"
-#: Ranges of sizes that are swept in parallel.
-RANGES = 8
+#: Ranges of sizes that are swept in parallel, and sweeps over what they have left before the state is written again.
+RANGES, SWEEPS = 8, 4
 MIXED = 4
 
 
@@ -84,8 +84,17 @@ def sweep(runs: pd.DataFrame) -> pd.DataFrame:
 
 
 def settle(runs: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    """The end of a round: a sweep over what the ranges have left, then new sequences for pieces that no gap can hold."""
-    swept = sweep(runs)
+    """The end of a round: sweeps over what the ranges have left, and new sequences for pieces that no gap can hold."""
+    for _ in range(SWEEPS):
+        runs = _open(sweep(runs), capacity)
+        runs.loc[runs["kind"] == "new", "kind"] = "gap"
+        if not (runs["kind"] == "piece").any():
+            break
+    return runs
+
+
+def _open(swept: pd.DataFrame, capacity: int) -> pd.DataFrame:
+    """Opens sequences for the longest pieces that no gap can hold, and places them."""
     piece, gap = swept["kind"] == "piece", swept["kind"].isin(["gap", "new"])
     top = swept["size"][piece].max() if piece.any() else 0
     stuck = piece & (swept["size"] > (swept["size"][gap].max() if gap.any() else 0))
@@ -101,7 +110,7 @@ def settle(runs: pd.DataFrame, capacity: int) -> pd.DataFrame:
     number = int(swept["first"][head].iloc[0])
     opened = pd.DataFrame([("gap", capacity, number, int(need), 0, 0, 0)], columns=swept.columns)
     swept.loc[head, "first"] = number + int(need)
-    return pd.concat([swept[~stuck], sweep(pd.concat([swept[stuck], opened]))])
+    return pd.concat([swept[~stuck], sweep(pd.concat([swept[stuck], opened]))], ignore_index=True)
 
 
 def pack_runs(counts: DataFrame, capacity: int) -> np.ndarray:
@@ -115,7 +124,7 @@ def pack_runs(counts: DataFrame, capacity: int) -> np.ndarray:
         by_range = F.floor(F.col("size") * RANGES / (capacity + 1))
         swept = state.groupBy(by_range).applyInPandas(sweep, RUN).groupBy().applyInPandas(lambda runs: settle(runs, capacity), RUN)
         rounds.append(materialize(swept, "runs"))
-        state = rounds[-1].where("kind != 'plan'").withColumn("kind", F.when(F.col("kind") == "new", "gap").otherwise(F.col("kind")))
+        state = rounds[-1].where("kind != 'plan'")
     plan = [r for made in rounds for r in made.where("kind = 'plan'").select("length", "rank", "n", "first", "fit", capacity - F.col("size")).collect()]
     discard(*rounds)
     return np.array(plan, np.int64).reshape(-1, 6)
