@@ -20,6 +20,7 @@ from .schemas import MIRROR, MIRROR_SPEC
 from .session import Settings, session
 from .sources.snapshot_table import SnapshotTable
 from .streaming.jobs import console
+from .workspace import namespace
 
 FORMS = ("protobuf", "avro", "json", "change")
 
@@ -27,13 +28,14 @@ FORMS = ("protobuf", "avro", "json", "change")
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="sluice", description=__doc__)
     top.add_argument("--master", help="Spark master; by default that of spark-submit")
+    top.add_argument("--namespace", help="WAREHOUSE:NAME, where --table and --changelog are names; created unless it exists")
     top.add_argument("--concurrent-writers", type=int, default=0, help="open files of a task that writes partitions without sorting first")
     jobs = top.add_subparsers(dest="job", required=True)
 
     def job(name: str, text: str, stream: bool = True, table: bool = True) -> argparse.ArgumentParser:
         one = jobs.add_parser(name, help=text, description=text)
         if table:
-            one.add_argument("--table", required=True, help="folder of the table")
+            one.add_argument("--table", required=True, help="folder of the table, or its name in --namespace")
         if stream:
             source = one.add_mutually_exclusive_group(required=True)
             source.add_argument("--log", help="folder of log segments")
@@ -108,6 +110,11 @@ def _hot(a: argparse.Namespace):
 
 
 def run(spark: SparkSession, a: argparse.Namespace) -> None:
+    if a.namespace:
+        folder = namespace(spark, *a.namespace.rsplit(":", 1))
+        for option in ("table", "changelog"):
+            if getattr(a, option, None):
+                setattr(a, option, f"{folder}/{getattr(a, option)}")
     if a.job == "ingest-watermark":
         ingest_watermark(spark, _job(a), dedup=not a.no_dedup, **_decoding(a)).awaitTermination()
     elif a.job == "ingest-merge":
@@ -116,7 +123,9 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
     elif a.job == "ingest-changelog":
         ingest_changelog(spark, _job(a)).awaitTermination()
     elif a.job == "console":
-        console(decode(_job(a).messages(spark), **_decoding(a)), name=a.name, checkpoint=a.checkpoint, every=a.every).awaitTermination()
+        rows = decode(_job(a).messages(spark), **_decoding(a))
+        rows.printSchema()
+        console(rows, name=a.name, checkpoint=a.checkpoint, every=a.every).awaitTermination()
     elif a.job == "mirror":
         mirror = SnapshotTable.create(spark, a.table, MIRROR, MIRROR_SPEC, {"merge.key": "account_id"})
         print("snapshot", incremental_mirror(SnapshotTable(spark, a.changelog), mirror, mode=a.mode))

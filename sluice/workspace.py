@@ -37,6 +37,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def namespace(spark: SparkSession, warehouse: str, name: str) -> str:
+    """The folder of a namespace's tables, created unless it exists; dots nest."""
+    path = "/".join([warehouse.rstrip("/"), *name.split(".")])
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(at)
+    return path
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of any file system that Spark can write to."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -137,11 +137,14 @@ def test_jobs_from_the_command_line(spark, tmp_path, capsys):
     assert table.scan().count() == 12 and table.snapshots().count() == 1
     lines = spark.createDataFrame([("I,1,10,1704067200123",), ("U,1,11,1704067200124",)], "v string")
     append_messages(lines, str(tmp_path / "changes"), topic="c", value=F.col("v"))
-    run("ingest-changelog", "--log", tmp_path / "changes", "--table", tmp_path / "changelog", "--checkpoint", tmp_path / "c2")
-    run("mirror", "--changelog", tmp_path / "changelog", "--table", tmp_path / "mirror", "--mode", "merge-on-read")
-    assert SnapshotTable(spark, str(tmp_path / "mirror")).scan().select("account_id", "balance").collect() == [(1, 11.0)]
+    bank = ["--namespace", f"{tmp_path}/lake:bank.accounts"]
+    run(*bank, "ingest-changelog", "--log", tmp_path / "changes", "--table", "changelog", "--checkpoint", tmp_path / "c2")
+    run(*bank, "mirror", "--changelog", "changelog", "--table", "mirror", "--mode", "merge-on-read")
+    assert SnapshotTable(spark, str(tmp_path / "lake/bank/accounts/mirror")).scan().select("account_id", "balance").collect() == [(1, 11.0)]
     run("ingest-watermark", "--log", tmp_path / "log", "--table", tmp_path / "w", "--checkpoint", tmp_path / "c3", "--no-dedup")
     assert SnapshotTable(spark, str(tmp_path / "w")).scan().count() == 16
+    run("console", "--log", tmp_path / "log", "--checkpoint", tmp_path / "c4")
+    assert "|-- employee_id: long" in capsys.readouterr().out
 
 
 def test_formats_of_data_files(spark, tmp_path):
@@ -166,3 +169,16 @@ def test_sql_over_the_view_of_a_micro_batch(spark, tmp_path):
 
     start(stream, handle, name="view", checkpoint=str(tmp_path / "c")).awaitTermination()
     assert seen == [10]
+
+
+def test_a_processing_time_trigger_takes_what_comes(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "in"))
+    stream, seen = spark.readStream.schema("id long").parquet(str(tmp_path / "in")), []
+    query = start(stream, lambda rows, batch_id: seen.append((batch_id, rows.count())), name="timed", checkpoint=str(tmp_path / "c"), every="1 second")
+    try:
+        query.processAllAvailable()
+        spark.range(4).write.mode("append").parquet(str(tmp_path / "in"))
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert [n for _, n in seen] == [3, 4]
