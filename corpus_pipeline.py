@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm.common import materialize, table
+from sluice.llm.common import discard, materialize, table
 from sluice.llm.exact_dedup import exact_dedup
 from sluice.llm.labelled import fold
 from sluice.llm.near_dedup import near_dedup
@@ -57,7 +57,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, written = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(*written)
+        written = [docs]
     return docs
