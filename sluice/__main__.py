@@ -8,6 +8,7 @@ from __future__ import annotations
 import argparse
 import time
 from datetime import datetime, timedelta, timezone
+from urllib.parse import unquote
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -103,8 +104,9 @@ def _hot(a: argparse.Namespace):
     first = int((time.time() - a.recent_hours * 3600) // 3600) if a.recent_hours is not None else None
 
     def where(values: dict) -> bool:
-        hour = values.get("_hours_start_date", "")
-        return not (first is not None and hour.lstrip("-").isdigit() and int(hour) < first)
+        hour, team = values.get("_hours_start_date", ""), values.get("_identity_team")
+        cold = first is not None and hour.lstrip("-").isdigit() and int(hour) < first
+        return not cold and (a.team is None or team is None or unquote(team) == a.team)
 
     return where
 

@@ -147,6 +147,14 @@ def test_jobs_from_the_command_line(spark, tmp_path, capsys):
     assert "|-- employee_id: long" in capsys.readouterr().out
 
 
+def test_a_merge_job_reads_the_hot_partitions_of_its_team():
+    a = cli.parser().parse_args(["ingest-merge", "--log", "l", "--table", "t", "--checkpoint", "c", "--recent-hours", "2", "--team", "a:b"])
+    hour = int(datetime.now(timezone.utc).timestamp() // 3600)
+    values = [{"_hours_start_date": str(h), "_identity_team": team} for h in (hour, hour - 2, hour - 3) for team in ("a%3Ab", "c")]
+    assert [cli._hot(a)(v) for v in values] == [True, False, True, False, False, False]
+    assert cli._hot(a)({"_hours_start_date": "__HIVE_DEFAULT_PARTITION__"})
+
+
 def test_formats_of_data_files(spark, tmp_path):
     for form in ("orc", "json"):
         t = SnapshotTable.create(spark, str(tmp_path / form), "k long, v string", ["bucket(2, k)"], {"write.format.default": form, "write.compression-codec": "none" if form == "json" else "zlib"})
