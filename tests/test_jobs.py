@@ -12,6 +12,7 @@ from sluice import __main__ as cli
 from sluice.functions import codecs
 from sluice.plans.queries import proto_value
 from sluice.schemas import EMPLOYEE
+from sluice.session import Settings, session
 from sluice.sources import log
 from sluice.sources.log import append_messages
 from sluice.sources.snapshot_table import SnapshotTable
@@ -190,3 +191,14 @@ def test_a_processing_time_trigger_takes_what_comes(spark, tmp_path):
     finally:
         query.stop()
     assert [n for _, n in seen] == [3, 4]
+
+
+def test_partitions_are_written_without_a_sort_by_concurrent_writers(spark, tmp_path):
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    assert session(Settings(rocksdb_state=False, concurrent_writers=8)).conf.get(name) == "8"
+    try:
+        t = SnapshotTable.create(spark, str(tmp_path / "t"), "k long", ["bucket(4, k)"])
+        t.append(spark.range(100).toDF("k"))
+        assert t.scan().count() == 100 and len(t.parts()) == 4
+    finally:
+        spark.conf.unset(name)
