@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..workspace import fresh_path, remove, shared_dir, table
 
-__all__ = ["discard", "fresh_path", "join_to_groups", "materialize", "shared_dir", "table", "text_or_empty"]
+__all__ = ["discard", "fresh_path", "join_to_groups", "materialize", "quoted", "shared_dir", "table", "text_or_empty"]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def discard(*written: DataFrame) -> None:
         remove(df.sparkSession, df._sluice_path)
 
 
+def quoted(name: str) -> str:
+    """A column's name as a reference, though it may hold dots."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

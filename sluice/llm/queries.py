@@ -7,14 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_digests
+from .collocations import collocations, frequent_phrases
 from .common import table
 from .exact_dedup import dedup_decisions
 from .labelled import fold
 from .line_dedup import BLOCKS, MIN_PAGES, RATIO, line_dedup
+from .mixing import mix_decisions
 from .near_dedup import near_classes
 from .packing import pack_documents
 from .quality import fit_quality, score_quality
 from .sharding import shard_documents
+from .spelling import spelling_variants, word_counts
 from .token_files import token_file_round_trip
 from .toxicity import fit_toxicity, score_toxicity
 from .vectors import nearest
@@ -73,6 +76,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "pages"), keep=["page_id"]).select("page_id", "host", "n_lines", "n_dropped", F.sha2("clean_text", 256).alias("text_sha256"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(word_counts(table(spark, sf_dir, "documents"), slip=199))
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_decisions(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(frequent_phrases(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_inverted_multi_index": op1_inverted_multi_index,
     "op2_sharding": op2_sharding,
@@ -84,6 +99,9 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_line_dedup": op10_line_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_source_mixing": op12_source_mixing,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL = {
