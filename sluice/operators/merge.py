@@ -46,3 +46,16 @@ def mirror_merge(
     keep = F.col("_c").isNull() | (matched & ~F.coalesce(F.col("_op") == "D", F.lit(False))) | (F.col("_a").isNull() & (F.col("_op") != "D"))
     value = lambda x: F.when(F.col("_c").isNotNull(), F.col(f"_c_{x}").cast(mirror.schema[x].dataType)).otherwise(F.col(f"_a_{x}")).alias(x)
     return a.join(c, F.col("_a") == F.col("_c"), "full_outer").where(keep).select(F.coalesce("_a", "_c").alias(key), *map(value, columns))
+
+
+def ordered_merge(mirror: DataFrame, latest: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The mirror after changes that may come late: of a key's row and its change the one greater by `order` stays, so the result doesn't depend on
+    the order of arrival. Rows have the same columns; a deletion stays as a row, so an older change can't bring its key back.
+
+    Nulls come first in the order; of rows alike in it, which are alike in all columns if it names them all, the mirror's stays.
+    """
+    rank = lambda side: F.struct(*[F.col(f"{side}.{c}") for c in order])
+    a, c = mirror.alias("a"), latest.select(*mirror.columns).alias("c")
+    newer = F.col(f"a.{key}").isNull() | (F.col(f"c.{key}").isNotNull() & (rank("c") > rank("a")))
+    value = lambda x: F.when(newer, F.col(f"c.{x}")).otherwise(F.col(f"a.{x}")).alias(x)
+    return a.join(c, F.col(f"a.{key}") == F.col(f"c.{key}"), "full_outer").select(*[value(x) for x in mirror.columns])

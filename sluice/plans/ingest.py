@@ -59,23 +59,23 @@ def employee_table(spark: SparkSession, path: str, spec: list[str] = EMPLOYEE_SP
     return SnapshotTable.create(spark, path, EMPLOYEE, spec, properties)
 
 
-def ingest_watermark(spark: SparkSession, job: Job, form: str = "protobuf", dedup: bool = True, **decoding) -> StreamingQuery:
-    """Decode, remove repeats by watermark state, append."""
+def ingest_watermark(spark: SparkSession, job: Job, form: str = "protobuf", dedup: bool = True, table: dict | None = None, **decoding) -> StreamingQuery:
+    """Decode, remove repeats by watermark state, append. table: spec and properties of a new table."""
     rows = decode(job.messages(spark), form, **decoding)
     run = watermark_ingest if dedup else append_stream
-    return run(rows, employee_table(spark, job.table), name=job.name, checkpoint=job.checkpoint, every=job.every)
+    return run(rows, employee_table(spark, job.table, **(table or {})), name=job.name, checkpoint=job.checkpoint, every=job.every)
 
 
-def ingest_merge(spark: SparkSession, job: Job, form: str = "protobuf", *, merging: dict | None = None, **decoding) -> StreamingQuery:
-    """Decode, then an insert-only MERGE of each batch. merging: options of merge_ingest."""
+def ingest_merge(spark: SparkSession, job: Job, form: str = "protobuf", *, merging: dict | None = None, table: dict | None = None, **decoding) -> StreamingQuery:
+    """Decode, then an insert-only MERGE of each batch. merging: options of merge_ingest; table: spec and properties of a new table."""
     rows = decode(job.messages(spark), form, **decoding)
-    return merge_ingest(rows, employee_table(spark, job.table), name=job.name, checkpoint=job.checkpoint, every=job.every, **(merging or {}))
+    return merge_ingest(rows, employee_table(spark, job.table, **(table or {})), name=job.name, checkpoint=job.checkpoint, every=job.every, **(merging or {}))
 
 
-def ingest_changelog(spark: SparkSession, job: Job) -> StreamingQuery:
-    """Delimited changes to the changelog table."""
-    table = SnapshotTable.create(spark, job.table, CHANGELOG, CHANGELOG_SPEC)
-    return append_stream(decode(job.messages(spark), "change"), table, name=job.name, checkpoint=job.checkpoint, every=job.every)
+def ingest_changelog(spark: SparkSession, job: Job, table: dict | None = None) -> StreamingQuery:
+    """Delimited changes to the changelog table. table: spec and properties of a new table."""
+    made = SnapshotTable.create(spark, job.table, CHANGELOG, **({"spec": CHANGELOG_SPEC} | (table or {})))
+    return append_stream(decode(job.messages(spark), "change"), made, name=job.name, checkpoint=job.checkpoint, every=job.every)
 
 
 def dedup_partitions(table: SnapshotTable, keys: list, order, where=lambda values: True) -> int:
