@@ -55,7 +55,7 @@ def ordered_merge(mirror: DataFrame, latest: DataFrame, key: str, order: list[st
     Nulls come first in the order; of rows alike in it, which are alike in all columns if it names them all, the mirror's stays.
     """
     rank = lambda side: F.struct(*[F.col(f"{side}.{c}") for c in order])
-    a, c = mirror.alias("a"), latest.select(*mirror.columns).alias("c")
-    newer = F.col(f"a.{key}").isNull() | (F.col(f"c.{key}").isNotNull() & (rank("c") > rank("a")))
-    value = lambda x: F.when(newer, F.col(f"c.{x}")).otherwise(F.col(f"a.{x}")).alias(x)
-    return a.join(c, F.col(f"a.{key}") == F.col(f"c.{key}"), "full_outer").select(*[value(x) for x in mirror.columns])
+    a, c = mirror.select(F.struct(*mirror.columns).alias("a")), latest.select(F.struct(*mirror.columns).alias("c"))
+    met = a.join(c, F.col(f"a.{key}") == F.col(f"c.{key}"), "full_outer")
+    newer = F.col("a").isNull() | (F.col("c").isNotNull() & (rank("c") > rank("a")))
+    return met.select(F.when(newer, F.col("c")).otherwise(F.col("a")).alias("_row")).select("_row.*")
