@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .functions import codecs
+from .functions.registry import Registry
 from .operators.maintenance import beside, closed_hours, rewrite_data_files
 from .operators.predicates import Predicate, col
 from .plans.cdc import incremental_mirror, mirror_changes
@@ -68,6 +69,8 @@ def parser() -> argparse.ArgumentParser:
     def decoding(one: argparse.ArgumentParser) -> None:
         one.add_argument("--form", choices=FORMS, default="protobuf")
         one.add_argument("--framed", action="store_true", help="messages have a registry header")
+        one.add_argument("--registry", help="folder of schema versions named by their ids; messages are decoded by the version of their header")
+        one.add_argument("--writer-schema", action="append", default=[], help="file of an Avro schema that writers of single-object messages used")
         one.add_argument("--descriptors", help="file of a Protobuf descriptor set")
         one.add_argument("--descriptors-hex", help="a Protobuf descriptor set in hexadecimal")
         one.add_argument("--schema", help="file of an Avro schema")
@@ -114,8 +117,12 @@ def _job(a: argparse.Namespace) -> Job:
     return Job(a.log, getattr(a, "table", ""), a.checkpoint, a.name, a.bootstrap, a.topic, a.every, a.max_files, a.starting, options)
 
 
-def _decoding(a: argparse.Namespace) -> dict:
+def _decoding(spark: SparkSession, a: argparse.Namespace) -> dict:
     found: dict = {"form": a.form, "framed": a.framed}
+    if a.registry:
+        found["registry"] = Registry.load(spark, a.registry)
+    if a.writer_schema:
+        found["single_object"] = [codecs.read_bytes(p).decode() for p in a.writer_schema]
     if a.descriptors or a.descriptors_hex:
         found["descriptors"] = codecs.descriptor_bytes(a.descriptors, a.descriptors_hex)
     if a.schema:
@@ -174,17 +181,17 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
             if getattr(a, option, None):
                 setattr(a, option, f"{folder}/{getattr(a, option)}")
     if a.job == "ingest-watermark":
-        query = ingest_watermark(spark, _job(a), dedup=not a.no_dedup, table=_table(a), **_decoding(a))
+        query = ingest_watermark(spark, _job(a), dedup=not a.no_dedup, table=_table(a), **_decoding(spark, a))
         _maintained(a, query, SnapshotTable(spark, a.table))
     elif a.job == "ingest-merge":
         merging = {"dedup": not a.no_dedup, "compaction": a.compaction, "target_filter": lambda: _condition(a)}
-        query = ingest_merge(spark, _job(a), merging=merging, table=_table(a), **_decoding(a))
+        query = ingest_merge(spark, _job(a), merging=merging, table=_table(a), **_decoding(spark, a))
         _maintained(a, query, SnapshotTable(spark, a.table))
     elif a.job == "ingest-changelog":
         query = ingest_changelog(spark, _job(a), table=_table(a))
         _maintained(a, query, SnapshotTable(spark, a.table))
     elif a.job == "console":
-        rows = decode(_job(a).messages(spark), **_decoding(a))
+        rows = decode(_job(a).messages(spark), **_decoding(spark, a))
         rows.printSchema()
         console(rows, name=a.name, checkpoint=a.checkpoint, every=a.every).awaitTermination()
     elif a.job == "mirror":

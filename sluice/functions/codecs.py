@@ -1,7 +1,7 @@
 """Payload codecs: delimited changes, JSON, Avro records, Protobuf messages and registry framing.
 
 CSV and JSON stay in built-in functions. Avro and Protobuf are decoded by Spark's own connector functions where their jars are on the
-session's class path; elsewhere Arrow-batched UDFs give the same structs (`connector` tells which).
+session's class path; elsewhere Arrow-batched UDFs give the same structs (`connector` tells which), by columns.
 """
 
 from __future__ import annotations
@@ -21,6 +21,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..schemas import AVRO_EMPLOYEE, JSON_EMPLOYEE
+from .avro_columns import Bodies, Field, Plan
+from .avro_columns import decode as decode_columns
+from .proto_columns import decode_bodies, reader_of
 
 #: Registry framing: version byte, compression byte, 16 bytes of schema version id.
 REGISTRY_HEADER = 18
@@ -191,21 +194,21 @@ def from_avro(value: Column, fields=AVRO_EMPLOYEE, mode: str = "PERMISSIVE") ->
         framed = F.substring(value, 1, len(SINGLE_OBJECT)) == F.lit(SINGLE_OBJECT)
         body = F.when(framed, F.substring(value, len(SINGLE_OBJECT) + 9, 2**31 - 1)).otherwise(value)
         return spark.from_avro(body, avro_schema(fields), {"mode": mode})
-    names = [n for n, _ in fields]
     kind = T.StructType([T.StructField(n, AVRO_KINDS[k.removesuffix("?")]) for n, k in fields])
-
-    def one(body: bytes | None) -> dict | None:
-        try:
-            return None if body is None else dict(zip(names, avro_decode_record(body, fields), strict=True))
-        except (ValueError, UnicodeDecodeError):
-            if mode != "PERMISSIVE":
-                raise
-            return None
+    own = [Field(n, k.removesuffix("?"), k.endswith("?")) for n, k in fields]
 
     @F.arrow_udf(kind)
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        plan, kinds = Plan(own, own), list(to_arrow_type(kind))
         for bodies in batches:
-            yield _structs([one(b) for b in bodies.to_pylist()], kind)
+            wire = Bodies(bodies)
+            null = wire.bad.copy()
+            single = (wire.byte() == SINGLE_OBJECT[0]) & (wire.byte(1) == SINGLE_OBJECT[1]) & (wire.end - wire.at >= 2)
+            wire.skip(10, single)
+            found = decode_columns(wire, plan, kinds)
+            if mode != "PERMISSIVE" and (wire.bad & ~null).any():
+                raise ValueError("a malformed Avro message")
+            yield found
 
     return decode(value)
 
@@ -337,8 +340,12 @@ def from_protobuf(value: Column, descriptors: bytes, message: str = "Employee",
                     raise
                 return None
 
+        columns = reader_of(made.DESCRIPTOR)
         for bodies in batches:
-            yield _structs([one(b) for b in bodies.to_pylist()], kind)
+            if columns is None:
+                yield _structs([one(b) for b in bodies.to_pylist()], kind)
+            else:
+                yield decode_bodies(bodies, columns, to_arrow_type(kind, timestamp_utc=True), one, lambda rows: _structs(rows, kind))
 
     return decode(value)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import codecs
+from ..functions.registry import Registry, body_of, from_registry_avro, from_registry_protobuf, from_single_object
 from ..operators.dedup import first_of_each
 from ..schemas import AVRO_EMPLOYEE, CHANGELOG, CHANGELOG_SPEC, EMPLOYEE, EMPLOYEE_SPEC
 from ..sources.log import read_stream
@@ -17,20 +18,30 @@ from ..streaming.jobs import append_stream, merge_ingest, watermark_ingest
 
 
 def decode(
-    messages: DataFrame, form: str, *, framed: bool = False, descriptors: bytes | None = None, fields: list[tuple[str, str]] = AVRO_EMPLOYEE, mode: str = "PERMISSIVE"
+    messages: DataFrame, form: str, *, framed: bool = False, descriptors: bytes | None = None, fields: list[tuple[str, str]] = AVRO_EMPLOYEE, mode: str = "PERMISSIVE",
+    registry: Registry | None = None, single_object: list[str] | None = None
 ) -> DataFrame:
     """The typed columns of log rows whose value is 'protobuf', 'avro', 'json' or 'change' (delimited).
 
-    descriptors, fields: the Protobuf descriptor set and the Avro fields, where they are not those of this library.
+    descriptors, fields: the Protobuf descriptor set and the Avro fields, where they are not those of this library. framed: a registry header is cut off unread;
+    registry: it is read, and messages of any version that the registry has become rows of those schemas. single_object: the
+    Avro schemas that writers used, found by the fingerprints of their messages.
     """
     value = codecs.strip_registry(F.col("value")) if framed else F.col("value")
     if form == "protobuf":
-        return codecs.flatten_employee(messages.select(codecs.from_protobuf(value, descriptors or codecs.employee_descriptor_set(), mode=mode).alias("Employee")))
+        own = descriptors or codecs.employee_descriptor_set()
+        decoded = from_registry_protobuf(value, registry, own, mode=mode) if registry else codecs.from_protobuf(value, own, mode=mode)
+        return codecs.flatten_employee(messages.select(decoded.alias("Employee")))
     if form == "avro":
-        e = messages.select(codecs.from_avro(value, fields, mode=mode).alias("Employee")).select("Employee.*")
+        reader = codecs.avro_schema(fields)
+        if registry:
+            decoded = from_registry_avro(value, registry, reader, mode)
+        else:
+            decoded = from_single_object(value, single_object, reader, mode) if single_object else codecs.from_avro(value, fields, mode=mode)
+        e = messages.select(decoded.alias("Employee")).select("Employee.*")
         return e.withColumn("start_date", F.timestamp_millis("start_date")).select("employee_id", "age", "start_date", "team", "role", "address", "name")
     if form == "json":
-        return messages.select(codecs.parse_json(value).alias("Employee")).select("Employee.*")
+        return messages.select(codecs.parse_json(body_of(value) if registry else value).alias("Employee")).select("Employee.*")
     if form == "change":
         return messages.select(*codecs.parse_change(value))
     raise ValueError(f"unknown form {form!r}")

@@ -7,6 +7,7 @@ windows are the feature of the queries that have one, and take a fixed `AS_OF` i
 
 from __future__ import annotations
 
+import json
 from datetime import datetime
 from functools import reduce
 
@@ -14,16 +15,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codecs
+from ..functions.registry import Registry, frame, from_registry_avro
 from ..functions.transforms import bucket, days, hours
 from ..operators.dedup import affected_partitions
 from ..operators.maintenance import rewrite_data_files
 from ..operators.merge import insert_only, latest_change, mirror_merge
-from ..schemas import CHANGELOG, CHANGELOG_SPEC, MIRROR, MIRROR_SPEC
+from ..operators.predicates import col
+from ..schemas import CHANGELOG, CHANGELOG_SPEC, MIRROR, MIRROR_SPEC, ORDERED_MIRROR
 from ..sources.log import append_messages, read_batch, read_stream
 from ..sources.snapshot_table import SnapshotTable
 from ..streaming.jobs import append_stream, merge_ingest, watermark_ingest
 from ..workspace import fresh_path, table
-from .cdc import incremental_mirror, merge_into_mirror, newest_first
+from .cdc import incremental_mirror, live, merge_into_mirror, mirror_changes, newest_first
 from .ingest import Job, decode, dedup_partitions, employee_table, ingest_changelog
 
 AS_OF = "2024-01-30 12:00:00"
@@ -322,6 +325,58 @@ def json_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode(events(spark, sf_dir).select(codecs.add_registry(body, bytes(range(16))).alias("value")), "json", framed=True)
 
 
+#: Two versions of the employee's Avro schema: the first knew no role and had short ids; the second is what is read.
+EMPLOYEE_VERSIONS = {
+    bytes(range(16)): [("employee_id", "int"), ("age", "int"), ("start_date", "long"), ("team", "string"), ("address", "string"), ("name", "string")],
+    bytes(range(1, 17)): [("employee_id", "long"), ("age", "int"), ("start_date", "long"), ("team", "string"), ("role", "string"), ("address", "string"), ("name", "string")],
+}
+
+
+def _employee_schema(fields: list[tuple[str, str]]) -> str:
+    kinds = [{"name": n, "type": k} | ({"default": "ARCHITECT"} if n == "role" else {}) for n, k in fields]
+    return json.dumps({"type": "record", "name": "Employee", "fields": kinds})
+
+
+def avro_registry_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One topic, two writers: clicks come in the first version of the schema, packed, all else in the second; one reader schema has both."""
+    rows = employees_of(spark, sf_dir).withColumn("age", F.coalesce("age", F.lit(0))).withColumn("start_date", F.unix_millis("start_date"))
+    path, registry = fresh_path(spark, "log"), Registry({i: _employee_schema(fields) for i, fields in EMPLOYEE_VERSIONS.items()})
+    for n, (version, fields) in enumerate(EMPLOYEE_VERSIONS.items()):
+        part = rows.where((F.col("team") == HOT_TEAM) == F.lit(n == 0))
+        value = frame(codecs.to_avro([F.col(c) for c, _ in fields], fields), version, compress=n == 0)
+        append_messages(part, path, topic="employees", value=value, first_offset=n << 50)
+    reader = registry.versions[bytes(range(1, 17))]
+    e = read_batch(spark, path).select(from_registry_avro(F.col("value"), registry, reader, "FAILFAST").alias("e")).select("e.*")
+    return employee_rows(e.withColumn("start_date", F.timestamp_millis("start_date")))
+
+
+def cdc_ordered_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changes arrive in three slices by hash, so most come late; the ordered mirror is as if they had come in order."""
+    mirror = SnapshotTable.create(spark, fresh_path(spark, "mirror"), ORDERED_MIRROR, MIRROR_SPEC, {"merge.key": "account_id"})
+    rows = changes(spark, sf_dir)
+    for i in (2, 0, 1):
+        part = rows.where(F.pmod(F.xxhash64("account_id", "last_updated"), F.lit(3)) == i)
+        mirror_changes(part, mirror, mode="merge-on-read" if i else "copy-on-write", ordered=True)
+    return mirror_rows(live(mirror.scan()))
+
+
+def predicate_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One predicate chooses both the partitions of hours, type and bucket that are read and the rows in them."""
+    made = event_table(spark, sf_dir, ["hours(ts)", "identity(event_type)", "bucket(8, user_id)"])
+    ts = col("ts")
+    wanted = (ts.between(datetime(2024, 1, 5, 6, 30), datetime(2024, 1, 9, 18)) & (col("event_type").isin("click", "error"))) | (col("user_id") == 7)
+    return event_rows(made.scan(where=wanted.partitions(made.load()[1].spec)).where(wanted.column()))
+
+
+def stream_two_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two logs go to one table by jobs of one name with a checkpoint each; neither takes the other's batches for its own."""
+    made = employee_table(spark, fresh_path(spark, "employee"), spec=["bucket(8, employee_id)"])
+    for half in (0, 1):
+        path = _log(spark, employees_of(spark, sf_dir).where(F.col("employee_id") % 2 == half), proto_value(), "employees")
+        append_stream(decode(read_stream(spark, path), "protobuf"), made, name="ingest", checkpoint=fresh_path(spark, "checkpoint")).awaitTermination()
+    return employee_rows(made.scan())
+
+
 def orders_latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = latest_change(table(spark, sf_dir, "orders"), "o_custkey", [F.desc("o_orderdate"), F.desc("o_orderkey")])
     return rows.select("o_custkey", "o_orderkey", "o_orderstatus", plain("o_orderdate"))
@@ -364,6 +419,10 @@ QUERIES = {
     "orders_latest_status": orders_latest_status,
     "partition_transforms": partition_transforms,
     "proto_udf_stream": proto_udf_stream,
+    "avro_registry_versions": avro_registry_versions,
+    "cdc_ordered_mirror": cdc_ordered_mirror,
+    "predicate_scan": predicate_scan,
+    "stream_two_sources": stream_two_sources,
 }
 
 
@@ -449,6 +508,12 @@ ORACLE_SQL = {
     "json_registry": "SELECT CAST(user_id AS INTEGER) AS \"employeeId\", 'Person' AS name FROM events",
     "orders_latest_status": """SELECT o_custkey, o_orderkey, o_orderstatus, o_orderdate FROM (
         SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1""",
+    "avro_registry_versions": _AVRO,
+    "cdc_ordered_mirror": f"""WITH {_CHANGES}, {_latest_sql("true")}
+        SELECT account_id, balance, last_updated FROM latest WHERE coalesce(operation, '') <> 'D'""",
+    "predicate_scan": f"""{_EVENTS} WHERE user_id = 7
+        OR (ts BETWEEN TIMESTAMP '2024-01-05 06:30:00' AND TIMESTAMP '2024-01-09 18:00:00' AND event_type IN ('click', 'error'))""",
+    "stream_two_sources": _EMPLOYEES,
     "partition_transforms": f"""SELECT event_id, user_bucket, CAST(epoch_us(ts) // 3600000000 AS INTEGER) AS ts_hours,
         CAST(epoch_us(ts) // 86400000000 AS INTEGER) AS ts_days FROM ({bucket_sql(8, "user_id")})""",
 }
