@@ -1,18 +1,21 @@
-"""Best-fit packing of token pieces into sequences of a fixed capacity, in bulk-synchronous rounds.
+"""Best-fit packing of token pieces into sequences of a fixed capacity, in bulk-synchronous supersteps.
 
 1. Documents are tokenized where they lie and cut; a piece keeps its length, its checksum and its rank among the pieces of the same
    length in its partition. Token ids go no further.
 2. Lengths are integers up to the capacity, so counts by (partition, length) turn local ranks into ranks among all pieces of a
    length. Pieces of one length are a run, and so are sequences of one gap; a run is one row, however many pieces it has.
-3. Rounds, each a job on the table of runs. Runs are range-sorted by size. Sweeps over the ranges, from large to small, give each
-   run of pieces its successor, the smallest gap that holds it and that no longer piece has taken; what a range can't match meets the
-   other ranges in a second sweep, which is the same matching as one sweep over all. Rank resolves conflicts: the k-th piece of a run takes the
-   k-th sequence, one sequence as many as fit. Then gaps are updated, and the rounds repeat until every piece is placed.
-4. Lengths that no gap can hold open new sequences after a sweep: those of which fewer than MIXED fit in one, only the longest
-   class at a time (what half a sequence holds, what a third holds), so that shorter ones find the gaps; all shorter ones at once.
+3. Supersteps, each a job on the table of runs. Pieces and gaps are sorted into ranges of size, and all ranges sweep at once, from large to small: each
+   run of pieces takes its successor, the smallest gap of the range that holds it and that no longer piece has taken. Rank resolves
+   conflicts: the k-th piece of a run takes the k-th sequence, one sequence as many as fit. Then gaps are updated: what a piece has left of one goes
+   to the range of its new size, and gaps that no piece of their range could use go on to the next range below that still has pieces. A gap
+   so meets larger ranges first and a piece smaller gaps first, as in one sweep over all.
+4. When all gaps have passed the highest range that still has pieces, that range opens the sequences that it needs itself: for sizes of which fewer
+   than MIXED fit in one, by number, else by volume. Ranges end at a half, a third and a fourth of the capacity, so shorter pieces then find
+   what these have left before they open any. Each range numbers its own sequences.
 5. Each piece finds its sequence by its rank, in parallel.
 
-The rows of a round are bounded by the capacity, and so is their number: neither grows with the number of pieces.
+The driver sees how many runs each range has. The rows of a superstep are bounded by the capacity, and so is their number: neither grows with the number of
+pieces, and no step brings all ranges together.
 
 Defined cases: a null text is empty and packs as its end id alone; repeated rows are packed each; a null key is kept; an empty
 table gives an empty result.
@@ -21,26 +24,30 @@ table gives an empty result.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import discard, materialize, text_or_empty
 from .tokens import encoder, slices
 
-#: A row of a round. piece: a run of n pieces of length `size` from rank `first`. gap: a run of n sequences with `size` left, from number
+#: A row of a superstep, in range `at`. piece: a run of n pieces of length `size` from rank `first`. gap: a run of n sequences with `size` left, from number
 #: `first`; new: one that this sweep has made. plan: n pieces of `length` from rank `rank`, `fit` to a sequence, from number `first`
-#: on, where `size` was left. next: `first` is the number of the next sequence to open.
-RUN = "kind string, size long, first long, n long, length long, rank long, fit long"
-#: Ranges of sizes that are swept in parallel, and sweeps over what they have left before the state is written again.
-RANGES, SWEEPS = 8, 4
+#: on, where `size` was left. next: `first` is the number of the next sequence that this range opens.
+RUN = "kind string, size long, first long, n long, length long, rank long, fit long, at int"
+FIELDS = [c.split()[0] for c in RUN.split(",")][:-1]
+#: Ranges hold sizes of more than these shares of the capacity, the last one all below.
+SHARES = (2, 3, 4, 8, 16, 64)
 MIXED = 4
+#: Numbers of sequences that a range may open.
+NUMBERS = 1 << 50
 
 
 def cut_lengths(n: int, capacity: int) -> list[int]:
@@ -79,54 +86,71 @@ def sweep(runs: pd.DataFrame) -> pd.DataFrame:
         if n:
             out.append(("piece", size, first, n, 0, 0, 0))
     out += [("gap", *g, 0, 0, 0) for g in stack]
-    names = [c.split()[0] for c in RUN.split(",")]
-    return pd.DataFrame([r for r in out if r[3] and (r[1] or r[0] != "new")], columns=names)
-
-
-def settle(runs: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    """The end of a round: sweeps over what the ranges have left, and new sequences for pieces that no gap can hold."""
-    for _ in range(SWEEPS):
-        runs = _open(sweep(runs), capacity)
+    return pd.DataFrame([r for r in out if r[3] and (r[1] or r[0] != "new")], columns=FIELDS)
+
+
+def superstep(runs: pd.DataFrame, capacity: int, opens: bool) -> pd.DataFrame:
+    """Sweeps over one range until its pieces have used all gaps that they can; with `opens`, the range opens sequences for the rest."""
+    (at,) = runs["at"].unique()
+    runs = runs[FIELDS]
+    plans = [runs[:0]]
+    while True:
+        swept = sweep(runs)
+        placed = swept["kind"] == "plan"
+        plans.append(swept[placed])
+        runs = swept[~placed].copy()
         runs.loc[runs["kind"] == "new", "kind"] = "gap"
-        if not (runs["kind"] == "piece").any():
+        piece, head = runs["kind"] == "piece", runs["kind"] == "next"
+        if placed.any() and piece.any():
+            continue
+        if not (opens and piece.any()):
             break
-    return runs
-
-
-def _open(swept: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    """Opens sequences for the longest pieces that no gap can hold, and places them."""
-    piece, gap = swept["kind"] == "piece", swept["kind"].isin(["gap", "new"])
-    top = swept["size"][piece].max() if piece.any() else 0
-    stuck = piece & (swept["size"] > (swept["size"][gap].max() if gap.any() else 0))
-    if not stuck.any():
-        return swept
-    fit = capacity // top
-    if fit < MIXED:
-        stuck &= capacity // swept["size"].clip(lower=1) == fit
-        need = -(-swept["n"][stuck].sum() // fit)
-    else:
-        need = -(-(swept["size"] * swept["n"])[stuck].sum() // capacity)
-    head = swept["kind"] == "next"
-    number = int(swept["first"][head].iloc[0])
-    opened = pd.DataFrame([("gap", capacity, number, int(need), 0, 0, 0)], columns=swept.columns)
-    swept.loc[head, "first"] = number + int(need)
-    return pd.concat([swept[~stuck], sweep(pd.concat([swept[stuck], opened]))], ignore_index=True)
+        n, size = runs["n"][piece], runs["size"][piece]
+        fit = capacity // int(size.max())
+        need = -(-int(n.sum()) // fit) if fit < MIXED else -(-int((size * n).sum()) // capacity)
+        number = int(runs["first"][head].iloc[0])
+        runs.loc[head, "first"] = number + need
+        runs = pd.concat([runs, pd.DataFrame([("gap", capacity, number, need, 0, 0, 0)], columns=FIELDS)], ignore_index=True)
+    out = pd.concat([*plans, runs], ignore_index=True)
+    return out.assign(at=np.int32(at))
+
+
+def match_runs(counts: DataFrame, capacity: int) -> list[DataFrame]:
+    """The supersteps for the pieces counted by (length, n): written tables of runs, whose plan rows place all pieces."""
+    spark, last = counts.sparkSession, len(SHARES)
+
+    def natural(size: Column) -> Column:
+        return reduce(Column.__add__, [(size * share <= capacity).cast("int") for share in SHARES])
+
+    none = [F.lit(0).cast("bigint").alias(c) for c in ("length", "rank", "fit")]
+    size = F.col("length").cast("bigint")
+    start = counts.select(F.lit("piece").alias("kind"), size.alias("size"), F.lit(0).cast("bigint").alias("first"), "n", *none, natural(size).alias("at"))
+    heads = spark.createDataFrame([("next", 0, r * NUMBERS, 1, 0, 0, 0, r) for r in range(last + 1)], RUN)
+    steps = [materialize(start.unionByName(heads), "runs")]
+    while True:
+        # a gap goes on to the range of its size, or past the range that could not use it
+        state = steps[-1].where("kind <> 'plan'").withColumn("onward", F.when(F.col("kind") == "gap", F.greatest(natural(F.col("size")), F.col("at") + 1)).otherwise(F.col("at")))
+        held = {(r["kind"], r["onward"]) for r in state.select("kind", "onward").distinct().collect()}
+        pieces = sorted(at for kind, at in held if kind == "piece")
+        if not pieces:
+            return steps
+        goal = {r: next((p for p in pieces if p >= r), -1) for r in range(last + 2)}
+        opens = pieces[0] if all(goal[at] != pieces[0] for kind, at in held if kind == "gap") else -1
+        to = F.element_at(F.array(*[F.lit(goal[r]) for r in range(last + 2)]), F.col("onward") + 1)
+        moved = state.withColumn("at", F.when(F.col("kind") == "gap", to).otherwise(F.col("at"))).drop("onward").where("at >= 0")
+
+        steps.append(materialize(moved.groupBy("at").applyInPandas(_superstep_of(capacity, opens), RUN), "runs"))
+
+
+def _superstep_of(capacity: int, opens: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    return lambda key, runs: superstep(runs, capacity, key[0] == opens)
 
 
 def pack_runs(counts: DataFrame, capacity: int) -> np.ndarray:
     """Rows (length, first rank, pieces, first sequence, pieces to a sequence, offset) for the pieces counted by (length, n)."""
-    spark = counts.sparkSession
-    none = [F.lit(0).cast("bigint").alias(c) for c in ("length", "rank", "fit")]
-    start = counts.select(F.lit("piece").alias("kind"), F.col("length").alias("size"), F.lit(0).cast("bigint").alias("first"), "n", *none)
-    state = materialize(start.unionByName(spark.createDataFrame([("next", 0, 0, 1, 0, 0, 0)], RUN)), "runs")
-    rounds = [state]
-    while not state.where("kind = 'piece'").isEmpty():
-        by_range = F.floor(F.col("size") * RANGES / (capacity + 1))
-        swept = state.groupBy(by_range).applyInPandas(sweep, RUN).groupBy().applyInPandas(lambda runs: settle(runs, capacity), RUN)
-        rounds.append(materialize(swept, "runs"))
-        state = rounds[-1].where("kind != 'plan'")
-    plan = [r for made in rounds for r in made.where("kind = 'plan'").select("length", "rank", "n", "first", "fit", capacity - F.col("size")).collect()]
-    discard(*rounds)
+    steps = match_runs(counts, capacity)
+    plan = [r for made in steps for r in made.where("kind = 'plan'").select("length", "rank", "n", "first", "fit", capacity - F.col("size")).collect()]
+    discard(*steps)
     return np.array(plan, np.int64).reshape(-1, 6)
 
 

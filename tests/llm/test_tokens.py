@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from sluice.llm.bpe import ByteBPE, PerfectHash, bpe_decode, bpe_digests, bpe_encode, load_ranks
-from sluice.llm.packing import cut_lengths, pack_documents, pack_runs, place
+from sluice.llm.packing import SHARES, cut_lengths, match_runs, pack_documents, pack_runs, place
 from sluice.llm.token_files import BLOCK, Reader, Writer, pack, token_file_round_trip
 from sluice.llm.tokens import ChunkEncoder
 
@@ -178,6 +178,24 @@ def test_rounds_pack_like_best_fit(spark):
     assert len(pack_runs(spark.createDataFrame([], "length long, n long"), 9)) == 0
 
 
+def test_ranges_match_by_themselves(spark):
+    """No range places more than its own sizes, most ranges place pieces at once, and the sequences are as many as one by one."""
+    rng = random.Random(4)
+    for lengths in ([rng.randint(1, 2048) for _ in range(20_000)], [min(2048, max(1, int(rng.lognormvariate(5.5, 1.2)))) for _ in range(20_000)]):
+        steps = match_runs(spark.createDataFrame(sorted(Counter(lengths).items()), "length long, n long"), 2048)
+        placed, by_step, used = Counter(), [], set()
+        for step in steps:
+            plan = step.where("kind = 'plan'").collect()
+            by_step.append({r["at"] for r in plan})
+            for r in plan:
+                placed[r["at"]] += r["n"]
+                assert r["at"] == sum(r["length"] * share <= 2048 for share in SHARES)
+                used.update(range(r["first"], r["first"] - (-r["n"] // r["fit"])))
+        assert sum(placed.values()) == len(lengths) and max(placed.values()) < 0.6 * len(lengths) and len(placed) == 7
+        assert max(map(len, by_step)) >= 4 and len(steps) < 40
+        assert len(used) <= 1.005 * best_fit_decreasing(lengths, 2048)
+
+
 def test_pack_documents(spark):
     rng = random.Random(1)
     docs, whole = frame(spark, [*TEXTS, *(" ".join(rng.choices(["of", "the", "thing", "blé"], k=rng.randint(1, 5000))) for _ in range(60))]), plain(BYTE)
