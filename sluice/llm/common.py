@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..workspace import fresh_path, remove, shared_dir, table
+from ..workspace import fresh_path, remove, scratch, shared_dir, table
 
-__all__ = ["discard", "fresh_path", "join_to_groups", "materialize", "quoted", "shared_dir", "table", "text_or_empty"]
+__all__ = ["discard", "fresh_path", "join_to_groups", "materialize", "quoted", "remove", "scratch", "shared_dir", "table", "text_or_empty"]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

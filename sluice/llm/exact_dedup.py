@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, text_or_empty
+from .common import materialize, quoted, text_or_empty
 
 BITS_PER_ROW = 8
 MAX_BITS = 1 << 30
@@ -64,7 +64,7 @@ def repeated_bits(hashes: DataFrame, words: int) -> DataFrame:
 def flag_possible_repeats(docs: DataFrame, *, text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """doc (the row as a struct), maybe: false only for rows whose text is surely unique. Nothing of docs is shuffled."""
     slices, words = filter_shape(docs.count(), max_bits)
-    hashed = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64(text_or_empty(text)).alias("_h"))
+    hashed = docs.select(F.struct(*map(quoted, docs.columns)).alias("doc"), F.xxhash64(text_or_empty(quoted(text))).alias("_h"))
     h = F.col("_h")
     word = _word(h, words)
     mask = reduce(Column.bitwiseOR, [F.call_function("shiftleft", F.lit(1).cast("bigint"), b) for b in _bits(h)])
@@ -83,23 +83,23 @@ def sha256(text: str = "text") -> Column:
 
 def dedup_decisions(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, keep_id, group_size, kept, text_sha256 of every row; the row with the largest key stays."""
-    flagged = flag_possible_repeats(docs.select(key, text), text=text)
+    flagged = flag_possible_repeats(docs.select(quoted(key), quoted(text)), text=text)
     rows = materialize(
-        flagged.select(F.col(f"doc.{key}"), sha256(f"doc.{text}").alias("text_sha256"), "maybe", F.monotonically_increasing_id().alias("_row")),
+        flagged.select(F.col(f"doc.{quoted(key)}"), sha256(f"doc.{quoted(text)}").alias("text_sha256"), "maybe", F.monotonically_increasing_id().alias("_row")),
         "digests",
     )
     single = rows.where("not maybe").select(
-        key, F.col(key).alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
+        quoted(key), F.col(quoted(key)).alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
     maybe = rows.where("maybe").withColumn("_sha", F.unhex("text_sha256"))
     groups = (
         maybe.groupBy("text_sha256")
-        .agg(F.max(F.struct(F.col(key), F.col("_row"))).alias("_best"), F.count(F.lit(1)).alias("group_size"))
+        .agg(F.max(F.struct(F.col(quoted(key)), F.col("_row"))).alias("_best"), F.count(F.lit(1)).alias("group_size"))
         .select(F.unhex("text_sha256").alias("_sha"), "_best", "group_size")
     )
     # joined on another form of the digest, so both sides shuffle and adaptive execution may split a hot group
     decided = maybe.join(groups.hint("merge"), "_sha").select(
-        key, F.col(f"_best.{key}").alias("keep_id"), "group_size", (F.col("_row") == F.col("_best._row")).alias("kept"), "text_sha256"
+        quoted(key), F.col(f"_best.{quoted(key)}").alias("keep_id"), "group_size", (F.col("_row") == F.col("_best._row")).alias("kept"), "text_sha256"
     )
     return single.unionByName(decided)
 
@@ -110,9 +110,9 @@ def exact_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     single = flagged.where("not maybe").select("doc.*")
     best = (
         flagged.where("maybe")
-        .select("doc", sha256(f"doc.{text}").alias("_sha"), F.monotonically_increasing_id().alias("_row"))
+        .select("doc", sha256(f"doc.{quoted(text)}").alias("_sha"), F.monotonically_increasing_id().alias("_row"))
         .groupBy("_sha")
-        .agg(F.max_by("doc", F.struct(f"doc.{key}", "_row")).alias("doc"))
+        .agg(F.max_by("doc", F.struct(f"doc.{quoted(key)}", "_row")).alias("doc"))
         .select("doc.*")
     )
     return single.unionByName(best)

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, text_or_empty
+from .common import discard, materialize, quoted, text_or_empty
 from .tokens import slices
 
 #: Bytes of features that the driver takes to fit a classifier.
@@ -26,16 +26,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     `usable` is a condition on column `key` of labels. The keys are at most `rows`, so they are broadcast.
     """
     chosen = (
-        labels.where(usable & F.col(key).isNotNull() & F.col(label).isin(0, 1))
-        .groupBy(F.col(key).alias("_key"))
-        .agg(F.max(label).cast("int").alias("label"))
+        labels.where(usable & F.col(quoted(key)).isNotNull() & F.col(quoted(label)).isin(0, 1))
+        .groupBy(F.col(quoted(key)).alias("_key"))
+        .agg(F.max(quoted(label)).cast("int").alias("label"))
         .orderBy(F.xxhash64("_key"), "_key")
         .limit(rows)
     )
-    texts = docs.select(F.col(key).alias("_key"), text_or_empty(text).alias("text"))
+    texts = docs.select(F.col(quoted(key)).alias("_key"), text_or_empty(quoted(text)).alias("text"))
     return texts.join(F.broadcast(chosen), "_key").select(F.xxhash64("_key", "text").alias("order"), "text", "label")
 
 
+def unlabelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, rows: int, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """order, text, label (-1) of documents without a label: those of the `rows` usable keys with the least hashes that have none."""
+    keys = docs.where(usable & F.col(quoted(key)).isNotNull()).select(F.col(quoted(key)).alias("_key")).orderBy(F.xxhash64("_key"), "_key").limit(rows).distinct()
+    chosen = keys.join(labels.select(F.col(quoted(key)).alias("_key")), "_key", "left_anti")
+    texts = docs.select(F.col(quoted(key)).alias("_key"), text_or_empty(quoted(text)).alias("text"))
+    return texts.join(F.broadcast(chosen), "_key").select(F.xxhash64("_key", "text").alias("order"), "text", F.lit(-1).alias("label"))
+
+
 def sample_features(
     sample: DataFrame, features: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], columns: str, rows: int, max_bytes: int = FIT_BYTES
 ) -> list[Row]:
@@ -65,4 +73,4 @@ def score_texts(docs: DataFrame, scorer: Callable[[], Callable[[str], float]], *
             batch = pa.RecordBatch.from_arrays([column], names=["text"])
             yield pa.array([one(t) for _, texts in slices([batch]) for t in texts], pa.float64())
 
-    return docs.select(F.struct(*docs.columns).alias("doc"), score.asNondeterministic()(text_or_empty(text)).alias("score"))
+    return docs.select(F.struct(*map(quoted, docs.columns)).alias("doc"), score.asNondeterministic()(text_or_empty(quoted(text))).alias("score"))

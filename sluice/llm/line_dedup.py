@@ -8,7 +8,7 @@ Pages are counted once per line, counts are combined before the shuffle, and onl
 meet again only with the hashes of their own dropped lines.
 
 Defined cases: a null page or a page without text keeps a row with empty text; a null or unparsable address is the
-host ''; repeated rows count as pages of their own; an empty table gives an empty result.
+host ''; kept columns named as a result of this operator raise ValueError; repeated rows count as pages of their own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, quoted
 
 RATIO = 0.2
 MIN_PAGES = 3
@@ -42,8 +42,11 @@ def drop_boilerplate_lines(
 ) -> DataFrame:
     """The columns `keep` of pages (by default all) with host, n_lines, n_dropped and clean_text (the remaining lines)."""
     columns = pages.columns if keep is None else keep
+    taken = {c.lower() for c in columns}
+    if taken & {"host", "n_lines", "n_dropped", "clean_text"}:
+        raise ValueError("columns host, n_lines, n_dropped and clean_text are this operator's results; rename yours first")
     rows = materialize(
-        pages.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(columns)], group.alias("_host"), lines.alias("_lines"), F.monotonically_increasing_id().alias("_row")), "lines"
+        pages.select(*[F.col(quoted(c)).alias(f"_c{i}") for i, c in enumerate(columns)], group.alias("_host"), lines.alias("_lines"), F.monotonically_increasing_id().alias("_row")), "lines"
     )
     hashed = rows.select("_host", "_row", F.array_distinct(F.transform("_lines", lambda x: F.xxhash64(x))).alias("_keys"))
     exploded = hashed.select("_host", "_row", F.explode("_keys").alias("_key"))
@@ -63,9 +66,6 @@ def drop_boilerplate_lines(
         .agg(F.collect_list("_line._key").alias("_gone"))
     )
     kept = F.filter("_lines", lambda x: ~F.array_contains(F.coalesce(F.col("_gone"), F.array().cast("array<bigint>")), F.xxhash64(x)))
-    taken = {c.lower() for c in columns}
-    if taken & {"host", "n_lines", "n_dropped", "clean_text"}:
-        raise ValueError("columns host, n_lines, n_dropped and clean_text are this operator's results; rename yours first")
     return (
         rows.join(dropped, "_row", "left")
         .withColumn("_kept", kept)

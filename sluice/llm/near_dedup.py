@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_to_groups, materialize, text_or_empty
+from .common import discard, join_to_groups, materialize, quoted, text_or_empty
 from .components import connected_components
 from .prob_minhash import Shingler, bands, signatures, similarity
 from .tokens import slices
@@ -236,5 +236,5 @@ def near_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> D
     Texts move once.
     """
     kept = near_classes(docs, key=key, text=text).where("representative").select(F.struct(F.col(key).alias("key"), F.col("text_id").alias("node")).alias("id"))
-    rows = docs.select(F.struct(F.col(key).cast("bigint").alias("key"), text_id(text).alias("node")).alias("id"), F.struct(*docs.columns).alias("doc"))
+    rows = docs.select(F.struct(F.col(key).cast("bigint").alias("key"), text_id(text).alias("node")).alias("id"), F.struct(*map(quoted, docs.columns)).alias("doc"))
     return rows.join(kept, "id", "left_semi").dropDuplicates(["id"]).select("doc.*")

@@ -1,23 +1,23 @@
 """Toxicity by weak supervision: many noisy voters, a generative label model, and a linear classifier on its posteriors.
 
-Voters look at the words of a text. Lexicon voters (`LEXICONS`, one for each language and kind) vote 1 where one of their words
-occurs; pattern voters vote 1 on a form of writing; mined voters vote 1 on a word or word beginning that the labelled sample
-shows to go with label 1; the silent voter votes 0 where nothing suspicious occurs; the annotator of the sample is one more voter, as fallible
-as it turns out to be. Voters abstain otherwise.
+Voters look at the words of a text and speak or are silent. Lexicon voters (`LEXICONS`, one for each language and kind) speak where one of their words
+occurs; pattern voters on a form of writing; mined voters on a word or word beginning that goes with label 1 among the
+labelled documents. Labels choose and calibrate voters: one that is mostly wrong there is left out. No voter is the label itself.
 
-The label model is a mixture over the hidden label: each voter has, for either label, a probability of its vote. These
-accuracies, the share of label 1 and the posteriors are estimated by EM, started from the labels. Voters that are
-correlated given the label would be counted twice, so correlations are estimated from the residuals of each round, and a voter's
-evidence is divided by 1 + the sum of its positive correlations.
+The label model is a mixture over the hidden label of labelled and unlabelled documents alike. For either label it has a tree of voters: the
+probability that a voter speaks depends on the label and on whether its parent in the tree speaks. So accuracies and correlations are both parameters,
+and voters that say the same thing twice count once. The tree joins the voters of most mutual information given the label. All is estimated by EM, which starts
+from whether any voter speaks; the counts of the labelled documents are added to those expected, as a prior, but the
+posterior of a document comes from its votes alone.
 
 The classifier is logistic regression on the presence of words and word beginnings, fitted to the posteriors. Its features are those that go with
 posterior label 1 far beyond chance.
 
-Everything is fitted on at most `fit_rows` labelled documents and FIT_BYTES of their features (documented bounds), all documents are scored,
-whole, where they lie.
+Everything is fitted on at most `fit_rows` labelled and UNLABELLED other documents, with FIT_BYTES of features for the first and half of that
+for the others (documented bounds); all documents are scored, whole, where they lie.
 
 Defined cases: null and empty texts have no word and get the score of the bias; without labels of both classes the label model has only the lexicons
-and patterns to go by, and without any labelled text every score is about 2e-22; repeated rows are each scored; an empty table gives an empty result.
+and patterns to go by, uncalibrated, and without any labelled text every score is about 2e-22; repeated rows are each scored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .labelled import labelled_sample, sample_features, score_texts
+from .labelled import FIT_BYTES, labelled_sample, sample_features, score_texts, unlabelled_sample
 from .tokens import slices
 
 FIT_ROWS = 12_000
@@ -39,10 +39,14 @@ BUCKETS = 1 << 22
 BEGINNINGS = (3, 4, 5, 6)
 #: Documents that a mined voter or a feature has to occur in, and how many standard errors it has to be off chance.
 SUPPORT, FAR = 5, 6.0
-#: Mined voters: how many at most, and the least share of label 1 among the documents of one.
-MINED_VOTERS, MINED_SHARE = 200, 0.8
+#: Mined voters: how many at most, the documents that one has to occur in, and how far off chance it is. The least share of label 1 among a voter's documents.
+MINED_VOTERS, VOTER_SUPPORT, VOTER_FAR, MINED_SHARE = 200, 4, 5.0, 0.8
 #: How many mined voters should know a document.
-COVER = 2
+COVER = 8
+#: Smoothing of a voter's probabilities, what twice the information of an edge has to be for all documents, and rounds in which the tree may change.
+SMOOTH, EDGE, TREE_ROUNDS = 2.0, 10.0, 10
+#: Documents without a label in the label model.
+UNLABELLED = 6_000
 WORD = re.compile(r"[^\W_]+")
 
 LEXICONS = {
@@ -103,41 +107,74 @@ def pattern_votes(text: str) -> int:
     return bits
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of label 1 for each row of votes (True where a voter speaks), each voter's P(speaks | label), and its weight.
-
-    start holds the posteriors to begin with.
+def dependency_tree(votes: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The parent of each voter, -1 for none: a maximum spanning tree of mutual information given the label, without edges that chance explains."""
+    n, size = votes.shape
+    information = np.zeros((size, size))
+    for w in (1 - p, p):
+        total = w.sum()
+        one = (w @ votes + 0.5) / (total + 1)
+        a, b = one[:, None], one[None, :]
+        both = ((votes.T * w) @ votes + a * b) / (total + 1)
+        for joint, apart in ((both, a * b), (a - both, a * (1 - b)), (b - both, (1 - a) * b), (1 - a - b + both, (1 - a) * (1 - b))):
+            joint = np.clip(joint, 1e-9, 1)
+            information += total / n * joint * np.log(joint / np.clip(apart, 1e-12, 1))
+    np.fill_diagonal(information, -1)
+    parent, best, source, left = np.full(size, -1), information[0].copy(), np.zeros(size, np.int64), np.ones(size, bool)
+    left[0] = False
+    while left.any():
+        j = int(np.where(left, best, -9).argmax())
+        left[j] = False
+        if 2 * n * best[j] > EDGE:
+            parent[j] = source[j]
+        nearer = information[j] > best
+        source[nearer], best = j, np.maximum(best, information[j])
+    return parent
+
+
+def label_model(votes: np.ndarray, start: np.ndarray, known: np.ndarray | None = None, label: np.ndarray | None = None, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of label 1 for each row of votes (True where a voter speaks), P(voter speaks | label, parent speaks) and each voter's parent.
+
+    start holds the posteriors to begin with. known, label: votes of documents whose label is known, whose counts are added to the expected ones.
     """
-    votes = votes.astype(np.float64)
-    p = np.clip(start, 0.02, 0.98)
-    rate, weight = np.full((2, votes.shape[1]), 0.5), np.ones(votes.shape[1])
-    for _ in range(rounds):
-        by_label = np.stack([1 - p, p])
-        rate = (by_label @ votes + 0.5) / (by_label.sum(axis=1, keepdims=True) + 1)
-        residual = votes - (by_label.T @ rate)
-        spread = np.sqrt((residual**2).mean(axis=0)) + 1e-9
-        correlation = (residual.T @ residual) / len(votes) / spread / spread[:, None]
-        np.fill_diagonal(correlation, 0)
-        weight = 1 / (1 + np.clip(correlation, 0, None).sum(axis=1))
-        evidence = votes * (np.log(rate[1]) - np.log(rate[0])) + (1 - votes) * (np.log1p(-rate[1]) - np.log1p(-rate[0]))
+    n = len(votes)
+    if not votes.shape[1]:
+        return start, np.zeros((2, 2, 0)), np.zeros(0, np.int64)
+    rows = np.vstack([votes, known]).astype(np.float64) if known is not None else votes.astype(np.float64)
+    sure = label.astype(np.float64) if label is not None else np.zeros(0)
+    p, parent = np.clip(start, 0.02, 0.98), np.full(votes.shape[1], -1)
+    rate = np.zeros((2, 2, votes.shape[1]))
+    for i in range(rounds):
+        every = np.r_[p, sure]
+        if i < TREE_ROUNDS:
+            parent = dependency_tree(rows, every)
+        above = rows[:, np.maximum(parent, 0)] * (parent >= 0)
+        evidence = []
+        for y, w in enumerate((1 - every, every)):
+            total, spoken, parents, both = w.sum(), w @ rows, w @ above, w @ (rows * above)
+            alone = (spoken + 0.5) / (total + 1)
+            rate[y, 1] = (both + SMOOTH * alone) / (parents + SMOOTH)
+            rate[y, 0] = (spoken - both + SMOOTH * alone) / (total - parents + SMOOTH)
+            chance = np.clip(np.where(above[:n] > 0, rate[y, 1], rate[y, 0]), 1e-6, 1 - 1e-6)
+            evidence.append((rows[:n] * np.log(chance) + (1 - rows[:n]) * np.log1p(-chance)).sum(axis=1))
         prior = np.clip(p.mean(), 1e-3, 1 - 1e-3)
-        new = 1 / (1 + np.exp(-np.clip(evidence @ weight + np.log(prior / (1 - prior)), -50, 50)))
-        settled = np.abs(new - p).max() < 1e-4
+        new = 1 / (1 + np.exp(-np.clip(evidence[1] - evidence[0] + np.log(prior / (1 - prior)), -50, 50)))
+        settled = np.abs(new - p).max(initial=0) < 1e-4
         p = new
         if settled:
             break
-    return p, rate, weight
+    return p, rate, parent
 
 
-def z_scores(rows: list[np.ndarray], p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features in SUPPORT rows or more, the share of label 1 among their rows, and its standard errors above the mean."""
+def z_scores(rows: list[np.ndarray], p: np.ndarray, support: int = SUPPORT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features in `support` rows or more, the share of label 1 among their rows, and its standard errors above the mean."""
     n, ones = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS)  # a fixed size, whatever the rows hold
     for r, q in zip(rows, p, strict=True):  # the features of a row are distinct
         n[r] += 1
         ones[r] += q
     feature = np.flatnonzero(n)
     n, ones = n[feature], ones[feature]
-    keep = n >= SUPPORT
+    keep = n >= support
     mean = p.mean()
     error = np.sqrt(max(mean * (1 - mean), 1e-6) / n[keep])
     return feature[keep], ones[keep] / n[keep], (ones[keep] / n[keep] - mean) / error
@@ -145,8 +182,8 @@ def z_scores(rows: list[np.ndarray], p: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def mine_voters(rows: list[np.ndarray], label: np.ndarray) -> np.ndarray:
     """Features that go with label 1, each in turn the one that knows the most documents still known by fewer than COVER."""
-    feature, share, z = z_scores(rows, label.astype(np.float64))
-    good = feature[(z >= FAR) & (share >= MINED_SHARE)]
+    feature, share, z = z_scores(rows, label.astype(np.float64), VOTER_SUPPORT)
+    good = feature[(z >= VOTER_FAR) & (share >= MINED_SHARE)]
     if not len(good):
         return good
     known = [np.flatnonzero(np.isin(good, r, assume_unique=True)) for r, y in zip(rows, label, strict=True) if y]
@@ -157,7 +194,7 @@ def mine_voters(rows: list[np.ndarray], label: np.ndarray) -> np.ndarray:
     left = np.full(len(known), COVER)
     gain = np.array([len(h) for h in holders])
     chosen: list[int] = []
-    while len(chosen) < MINED_VOTERS and gain.max() >= SUPPORT:
+    while len(chosen) < MINED_VOTERS and gain.max() >= VOTER_SUPPORT:
         f = int(gain.argmax())
         chosen.append(f)
         gain[f] = 0
@@ -174,14 +211,13 @@ def votes_of(rows: list[np.ndarray], patterns: np.ndarray, mined: np.ndarray) ->
     for i, members in enumerate(groups):
         for b in members.tolist():
             owner.setdefault(b, []).append(i)
-    votes = np.zeros((len(rows), len(groups) + len(PATTERNS) + 1), bool)
+    votes = np.zeros((len(rows), len(groups) + len(PATTERNS)), bool)
     keys = np.array(sorted(owner))
     for i, r in enumerate(rows):
         for b in r[np.isin(r, keys)].tolist():
             votes[i, owner[b]] = True
     for i in range(len(PATTERNS)):
         votes[:, len(groups) + i] = patterns >> i & 1
-    votes[:, -1] = ~votes[:, : len(groups)].any(axis=1)  # the silent voter
     return votes
 
 
@@ -214,15 +250,20 @@ class ToxicityModel:
 
 
 def fit_model(rows: list[np.ndarray], patterns: np.ndarray, label: np.ndarray) -> ToxicityModel:
-    """rows: sorted feature buckets of each text; label: 0 or 1."""
-    if not len(rows) or not sum(map(len, rows)):
+    """rows: sorted feature buckets of each text; label: 0 or 1, or -1 where it is not known."""
+    known = label >= 0
+    if not known.any() or not sum(map(len, rows)):
         return ToxicityModel({}, np.zeros(0), -50.0)
-    mined = mine_voters(rows, label)
-    votes = votes_of(rows, patterns, mined)
-    start = np.where(votes[:, :-1].any(axis=1), 0.9, 0.1)
-    if label.any() and not label.all():  # the annotator is one more voter, with an accuracy to be estimated
-        votes, start = np.column_stack([votes, label == 1]), label * 0.9 + 0.05
-    p, _, _ = label_model(votes, start)
+    own, truth = [r for r, k in zip(rows, known, strict=True) if k], label[known]
+    votes = votes_of(rows, patterns, mine_voters(own, truth))
+    if truth.any() and not truth.all():
+        spoken = votes[known].sum(axis=0)
+        right = votes[known & (label == 1)].sum(axis=0)
+        votes = votes[:, (spoken >= VOTER_SUPPORT) & (right >= MINED_SHARE * spoken)]
+        prior = votes[known], truth
+    else:
+        prior = None, None
+    p, _, _ = label_model(votes, np.where(votes.any(axis=1), 0.95, 0.03), *prior)
     feature, share, z = z_scores(rows, p)
     feature = feature[(z >= FAR) & (share >= 0.5)]
     at = [np.searchsorted(feature, r[np.isin(r, feature)]) for r in rows]
@@ -238,8 +279,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable, *, label: str = "to
             marks = pa.array(list(map(pattern_votes, texts)), pa.int32())
             yield pa.RecordBatch.from_arrays([rows.column("order"), rows.column("label"), marks, pa.array(data, pa.binary())], names=["order", "label", "patterns", "data"])
 
-    sample = labelled_sample(docs, labels, label, usable, fit_rows, key=key, text=text)
-    found = sample_features(sample, features, "order long, label int, patterns int, data binary", fit_rows)
+    kind = "order long, label int, patterns int, data binary"
+    found = sample_features(labelled_sample(docs, labels, label, usable, fit_rows, key=key, text=text), features, kind, fit_rows)
+    if found:
+        found += sample_features(unlabelled_sample(docs, labels, usable, UNLABELLED, key=key, text=text), features, kind, UNLABELLED, FIT_BYTES // 2)
     rows = [np.frombuffer(r.data, "<i4") for r in found]
     return fit_model(rows, np.array([r.patterns for r in found], np.int64), np.array([r.label for r in found], np.int64))
 

@@ -5,9 +5,9 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from sluice.llm.labelled import fold, labelled_sample, sample_features
+from sluice.llm.labelled import fold, labelled_sample, sample_features, unlabelled_sample
 from sluice.llm.quality import NGrams, dual_coordinate_descent, fit_nbsvm, fit_quality, score_quality, shape_of
-from sluice.llm.toxicity import LEXICONS, fit_logistic, fit_toxicity, label_model, score_toxicity
+from sluice.llm.toxicity import LEXICONS, PATTERNS, Words, bucket, fit_logistic, fit_toxicity, label_model, pattern_votes, score_toxicity
 
 WORDS = ["of", "the", "tion", "anst", "erre", "lyou", "heth", "nder", "blea", "shor"]
 
@@ -57,15 +57,23 @@ def test_toxicity_held_out(spark):
     assert max(r.score for r in none.collect()) < 1e-9
 
 
-def test_label_model_finds_accuracies_and_discounts_correlated_voters():
+def test_label_model_finds_accuracies_and_correlations():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.3
     votes = np.stack([np.where(truth, rng.random(4000) < a, rng.random(4000) < b) for a, b in ((0.8, 0.05), (0.7, 0.1), (0.6, 0.02), (0.5, 0.3))], axis=1)
-    votes = np.column_stack([votes, votes[:, 3], votes[:, 3]])  # one voter three times
-    p, rate, weight = label_model(votes, np.where(votes[:, :3].sum(axis=1) > 1, 0.9, 0.1))
-    assert ((p > 0.5) == truth).mean() > 0.9
-    assert abs(rate[1, 0] - 0.8) < 0.06 and abs(rate[0, 0] - 0.05) < 0.05
-    assert weight[3:].max() < 0.4 < weight[:3].min()
+    start = np.where(votes[:, :3].sum(axis=1) > 1, 0.9, 0.1)
+    p, rate, parent = label_model(votes, start)
+    assert ((p > 0.5) == truth).mean() > 0.9 and parent[0] == -1
+    assert abs(rate[1, 0, 0] - 0.8) < 0.1 and abs(rate[0, 0, 0] - 0.05) < 0.05
+    repeated = np.column_stack([votes, votes[:, 3], votes[:, 3] ^ (rng.random(4000) < 0.02)])  # one voter three times
+    again, rate, parent = label_model(repeated, start)
+    edges = {frozenset((j, int(k))) for j, k in enumerate(parent) if k >= 0} & {frozenset(x) for x in ((3, 4), (3, 5), (4, 5))}
+    assert len(edges) == 2 and np.abs(again - p).mean() < 0.05
+    tied = [j for j, k in enumerate(parent) if frozenset((j, int(k))) in edges]
+    assert rate[:, 1, tied].min() > 0.9 and rate[:, 0, tied].max() < 0.1
+    known, label = votes[:500], truth[:500]  # labels calibrate, but no document's posterior is its label
+    q, _, _ = label_model(votes, start, known, label)
+    assert ((q > 0.5) == truth).mean() > 0.9 and len({(tuple(v), round(x, 9)) for v, x in zip(votes.tolist(), q)}) == len({tuple(v) for v in votes.tolist()})
     assert all(words.islower() for words in LEXICONS.values())
 
 
@@ -149,32 +157,111 @@ def test_dual_coordinate_descent_reaches_the_optimum():
     assert mine <= best + 1e-2
 
 
-def test_label_model_matches_a_naive_version():
-    rng = np.random.default_rng(1)
-    votes = (rng.random((80, 5)) < 0.4).tolist()
-    p = [0.9 if sum(v[:2]) > 0 else 0.1 for v in votes]
-    got, _, _ = label_model(np.array(votes), np.array(p), rounds=12)
-    p = [min(max(x, 0.02), 0.98) for x in p]
-    for _ in range(12):
-        rate = [[(sum(q * v[j] for q, v in zip(w, votes)) + 0.5) / (sum(w) + 1) for j in range(5)] for w in ([1 - x for x in p], p)]
-        residual = [[v[j] - (1 - q) * rate[0][j] - q * rate[1][j] for j in range(5)] for q, v in zip(p, votes)]
-        spread = [math.sqrt(sum(r[j] ** 2 for r in residual) / len(votes)) + 1e-9 for j in range(5)]
-        weight = []
-        for j in range(5):
-            others = [sum(r[j] * r[k] for r in residual) / len(votes) / spread[j] / spread[k] for k in range(5) if k != j]
-            weight.append(1 / (1 + sum(max(o, 0) for o in others)))
-        prior = min(max(sum(p) / len(p), 1e-3), 1 - 1e-3)
-        new = []
-        for v in votes:
-            margin = math.log(prior / (1 - prior))
-            for j in range(5):
-                margin += weight[j] * (math.log(rate[1][j] / rate[0][j]) if v[j] else math.log((1 - rate[1][j]) / (1 - rate[0][j])))
-            new.append(1 / (1 + math.exp(-min(max(margin, -50), 50))))
+def naive_label_model(votes, p, known, label, rounds):
+    """The same EM on lists, with Prim's algorithm on a dict of edges."""
+    n, size = len(votes), len(votes[0])
+    rows, p = votes + known, [min(max(x, 0.02), 0.98) for x in p]
+    for i in range(rounds):
+        every = p + label
+        if i < 10:
+            information = {}
+            for j in range(size):
+                for k in range(size):
+                    total = 0.0
+                    for w in ([1 - x for x in every], every):
+                        t = sum(w)
+                        a, b = ((sum(q * r[x] for q, r in zip(w, rows)) + 0.5) / (t + 1) for x in (j, k))
+                        both = (sum(q for q, r in zip(w, rows) if r[j] and r[k]) + a * b) / (t + 1)
+                        for joint, apart in ((both, a * b), (a - both, a * (1 - b)), (b - both, (1 - a) * b), (1 - a - b + both, (1 - a) * (1 - b))):
+                            joint = min(max(joint, 1e-9), 1)
+                            total += t / len(rows) * joint * math.log(joint / apart)
+                    information[j, k] = total
+            parent, tree = [-1] * size, [0]
+            while len(tree) < size:
+                j, k = max(((j, k) for j in tree for k in range(size) if k not in tree), key=lambda e: information[e])
+                parent[k] = j if 2 * len(rows) * information[j, k] > 10 else -1
+                tree.append(k)
+        evidence = []
+        for w in ([1 - x for x in every], every):
+            total, out = sum(w), [0.0] * n
+            for j in range(size):
+                above = [bool(r[parent[j]]) if parent[j] >= 0 else False for r in rows]
+                spoken = sum(q for q, r in zip(w, rows) if r[j])
+                parents = sum(q for q, u in zip(w, above) if u)
+                both = sum(q for q, r, u in zip(w, rows, above) if r[j] and u)
+                alone = (spoken + 0.5) / (total + 1)
+                with_, without = (both + 2 * alone) / (parents + 2), (spoken - both + 2 * alone) / (total - parents + 2)
+                for d in range(n):
+                    chance = min(max(with_ if above[d] else without, 1e-6), 1 - 1e-6)
+                    out[d] += math.log(chance if rows[d][j] else 1 - chance)
+            evidence.append(out)
+        prior = min(max(sum(p) / n, 1e-3), 1 - 1e-3)
+        new = [1 / (1 + math.exp(-min(max(b - a + math.log(prior / (1 - prior)), -50), 50))) for a, b in zip(*evidence)]
         done = max(abs(a - b) for a, b in zip(new, p)) < 1e-4
         p = new
         if done:
             break
-    assert np.allclose(got, p, atol=1e-9)
+    return p, parent
+
+
+def test_label_model_matches_a_naive_version():
+    rng = np.random.default_rng(1)
+    votes = rng.random((80, 5)) < 0.4
+    votes[:, 4] = votes[:, 1] ^ (rng.random(80) < 0.1)
+    known, label = votes[:20], (rng.random(20) < 0.5).astype(int)
+    start = np.where(votes[:, :2].any(axis=1), 0.9, 0.1)
+    for extra in ((None, None), (known, label)):
+        got, _, parent = label_model(votes, start, *extra, rounds=14)
+        want, tree = naive_label_model(votes.tolist(), start.tolist(), [] if extra[0] is None else known.tolist(), [] if extra[1] is None else label.tolist(), 14)
+        assert np.allclose(got, want, atol=1e-9) and parent.tolist() == tree and max(tree) >= 0
+
+
+def naive_toxicity(texts, patterns, labels):
+    """The whole fit on sets and dicts, but for the label model and the logistic regression, which have naive versions of their own."""
+    docs = [Words()(t) for t in texts]
+    sure = [(d, y) for d, y in zip(docs, labels) if y >= 0]
+
+    def far(rows, weight, support):
+        n, ones, mean = {}, {}, sum(weight) / len(weight)
+        for d, w in zip(rows, weight):
+            for f in d:
+                n[f], ones[f] = n.get(f, 0) + 1, ones.get(f, 0) + w
+        error = max(mean * (1 - mean), 1e-6)
+        return {f: (ones[f] / n[f], (ones[f] / n[f] - mean) / math.sqrt(error / n[f])) for f in n if n[f] >= support}
+
+    good = sorted(f for f, (share, z) in far([d for d, _ in sure], [y for _, y in sure], 4).items() if z >= 5 and share >= 0.8)
+    left, mined = [8 if y else 0 for _, y in sure], []
+    while len(mined) < 200:
+        gain = {f: sum(1 for (d, y), more in zip(sure, left) if y and more > 0 and f in d) for f in good if f not in mined}
+        if not gain or max(gain.values()) < 4:
+            break
+        best = min(f for f in gain if gain[f] == max(gain.values()))
+        mined.append(best)
+        left = [more - (best in d) for (d, _), more in zip(sure, left)]
+    voters = [{bucket("w" + w) for w in words.split()} for words in LEXICONS.values()] + [{f} for f in mined]
+    votes = [[bool(v & d) for v in voters] + [bool(bits >> i & 1) for i in range(len(PATTERNS))] for d, bits in zip(docs, patterns)]
+    counts = [(sum(v[j] for v, y in zip(votes, labels) if y >= 0), sum(v[j] for v, y in zip(votes, labels) if y == 1)) for j in range(len(votes[0]))]
+    kept = [j for j, (n, right) in enumerate(counts) if n >= 4 and right >= 0.8 * n]
+    votes = np.array([[v[j] for j in kept] for v in votes])
+    known = np.array(labels) >= 0
+    p, _, _ = label_model(votes, np.where(votes.any(axis=1), 0.95, 0.03), votes[known], np.array(labels)[known])
+    features = sorted(f for f, (share, z) in far(docs, p.tolist(), 5).items() if z >= 6 and share >= 0.5)
+    w, bias = fit_logistic([np.array([i for i, f in enumerate(features) if f in d], np.int64) for d in docs], len(features), p)
+    return lambda t: 1 / (1 + math.exp(-sum(x for f, x in zip(features, w) if f in Words()(t)) - bias)), mined
+
+
+def test_toxicity_scores_match_a_naive_version(spark):
+    docs, labels = corpus(spark, 320)
+    usable = fold("doc_id", 5) != 0
+    own = labels.where("doc_id % 3 <> 0")  # a third has no label
+    known = sorted(labelled_sample(docs, own, "toxic", usable, 12_000).collect(), key=lambda r: r.order)
+    other = sorted(unlabelled_sample(docs, own, usable, 6_000).collect(), key=lambda r: r.order)
+    assert len(known) > 150 and len(other) > 80 and all(r.label == -1 for r in other)
+    rows = known + other
+    score, mined = naive_toxicity([r.text for r in rows], [pattern_votes(r.text) for r in rows], [r.label for r in rows])
+    assert len(mined) > 3
+    got = score_toxicity(docs, fit_toxicity(docs, own, usable)).select("doc.text", "score").collect()
+    assert all(abs(r.score - score(r.text or "")) < 1e-6 for r in got)
 
 
 def test_logistic_regression_reaches_the_optimum():

@@ -58,8 +58,15 @@ def test_pipeline_matches_brute_force(spark):
     assert all(sum(n for _, n in members) <= 2048 for members in by.values())
 
 
+def test_a_run_leaves_nothing_but_its_result(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("sluice.workspace.shared_dir", lambda spark: str(tmp_path / "shared"))
+    got = corpus_pipeline.run(spark, SF)
+    (left,) = (tmp_path / "shared").iterdir()
+    assert left.name.startswith("stage-packing") and got.count() > 0
+
+
 def test_stages_keep_the_columns(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("score", F.lit(1)).withColumn("node", F.lit("x"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("score", F.lit(1)).withColumn("node", F.lit("x")).withColumn("a.b", F.lit(2))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         for some in (docs.limit(50), docs.limit(0)):
             out = stage(spark, some, SF)
