@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm.common import discard, materialize, table
+from sluice.llm.common import fresh_path, remove, scratch, table
 from sluice.llm.exact_dedup import exact_dedup
 from sluice.llm.labelled import fold
 from sluice.llm.near_dedup import near_dedup
@@ -57,9 +57,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result of the last stage. Each stage's table goes once the next is written, and what a stage has written on its way with it."""
     docs, written = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-        discard(*written)
-        written = [docs]
+        path = fresh_path(spark, f"stage-{name}")
+        with scratch(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+        for old in written:
+            remove(spark, old)
+        written = [path]
     return docs

@@ -119,12 +119,13 @@ def key_condition(rows: DataFrame, keys: list[str], most: int = KEY_VALUES) -> C
     plain = [k for k in keys if isinstance(rows.schema[k].dataType, PRUNABLE)]
     if not plain:
         return None
-    ends = rows.agg(*[f(k).alias(f"{n}{i}") for i, k in enumerate(plain) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    ends = rows.agg(*[f(k).alias(f"{n}{i}") for i, k in enumerate(plain) for n, f in (("lo", F.min), ("hi", F.max), ("n", F.approx_count_distinct))]).first()
     found: list[Column] = []
     for i, k in enumerate(plain):
         if ends[f"lo{i}"] is None:
             return F.lit(False)  # a null key matches nothing
-        values = [r[0] for r in rows.where(F.col(k).isNotNull()).select(k).distinct().limit(most + 1).collect()]
+        few = ends[f"n{i}"] <= 2 * most
+        values = [r[0] for r in rows.where(F.col(k).isNotNull()).select(k).distinct().limit(most + 1).collect()] if few else range(most + 1)
         found.append(F.col(k).isin(values) if len(values) <= most else F.col(k).between(ends[f"lo{i}"], ends[f"hi{i}"]))
     return reduce(and_, found)
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +24,8 @@ def _local() -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else the checkpoint folder of the context.
 
-    Without either, a session on this machine alone (tests) gets a temporary folder; a cluster has to name one.
+    Without either, a session on this machine alone (tests) gets a temporary folder; a cluster has to name one. The folder comes with the scheme of
+    its file system, so that workers who open files themselves and Spark mean the same one.
     """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
@@ -29,12 +33,29 @@ def shared_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = _local()
-    return base.rstrip("/")
+    at = spark._jvm.org.apache.hadoop.fs.Path(base)
+    whole = at.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
+    return "file:///" + whole.removeprefix("file:/") if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
+
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, or below the scratch folder inside `scratch`."""
+    return f"{_scratch.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Inside, new paths lie in one folder, which goes at the end: for work whose results are written elsewhere."""
+    folder = fresh_path(spark, "scratch")
+    token = _scratch.set(folder)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        remove(spark, folder)
 
 
 def namespace(spark: SparkSession, warehouse: str, name: str) -> str:
