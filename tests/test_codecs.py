@@ -44,7 +44,7 @@ def test_avro_columns_are_the_records(records, junk, at, byte):
     bodies = [codecs.avro_encode_record(r, KINDS) for r in records]
     broken = [b[: at % (len(b) + 1)] for b in bodies] + [b[: at % len(b)] + bytes([byte]) + b[at % len(b) + 1 :] for b in bodies]
     every = bodies + [x for x in broken + junk if x is None or x[:2] != codecs.SINGLE_OBJECT]
-    assert columns(every) == [alone(b) for b in every]
+    assert repr(columns(every)) == repr([alone(b) for b in every])  # broken bytes may be numbers that don't equal themselves
     assert columns(bodies) == records
 
 
@@ -100,7 +100,7 @@ def test_protobuf_columns_are_the_messages(values, junk, at, byte):
 
     structs = lambda rows: pa.array(rows, arrow)
     got = decode_bodies(pa.array(every, pa.binary()), reader_of(MADE.DESCRIPTOR), arrow, one, structs)
-    assert got.to_pylist() == structs([None if b is None else one(b) for b in every]).to_pylist()
+    assert repr(got.to_pylist()) == repr(structs([None if b is None else one(b) for b in every]).to_pylist())
 
 
 def test_messages_without_columns_are_read_one_by_one():
