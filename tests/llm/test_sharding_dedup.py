@@ -1,6 +1,7 @@
 import hashlib
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from sluice.llm.exact_dedup import dedup_decisions, exact_dedup, filter_shape, flag_possible_repeats
@@ -102,3 +103,13 @@ def test_exact_dedup_passes_columns_of_any_type(spark):
     got = exact_dedup(docs)
     assert got.columns == docs.columns and sorted((r.doc_id, r.text or "") for r in got.collect() if r.doc_id) == [(2, "a")]
     assert got.count() == 2
+
+
+def test_columns_with_dots_and_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "same", "x"), (2, "same", "y"), (3, None, "z")], "doc_id long, text string, `a.b` string")
+    assert exact_dedup(docs).columns == docs.columns and sorted(r.doc_id for r in exact_dedup(docs).collect()) == [2, 3]
+    pages = spark.createDataFrame([(1, "http://h/", "<p>a</p>", "x", "h")], "page_id long, url string, html string, `a.b` string, host string")
+    got = line_dedup(pages, keep=["page_id", "a.b"])
+    assert got.columns[:2] == ["page_id", "a.b"] and got.first()["a.b"] == "x"
+    with pytest.raises(ValueError, match="rename"):
+        line_dedup(pages)
