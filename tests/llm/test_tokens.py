@@ -32,6 +32,20 @@ def test_chunks_encode_as_whole_texts():
             assert np.frombuffer(mine.encode([text or ""])[0], "<u4").tolist() == whole(text or ""), (path, text)
 
 
+def test_plain_chunks_are_learned_as_one_text():
+    words = ["It's", "ÉTÉ,", "über", "naïve", "</w>", "x</w>y", "'s", "ŸŉĿ", "don't!?", "A1b2", "(a)", "''s", "ab" * 300]
+    odd = ["", "\n", "a\n", "日本", "İ", "é\u0301", ("a",), ("<|endoftext|>",), "µ"]
+    for path, joined in ((WORD, False), (BYTE, True)):
+        mine, whole = ChunkEncoder(path, joined), plain(path)
+        assert mine.learn_plain(words) == [] and list(mine.memo) == words  # without the words of each token
+        mine.learn(odd)
+        for k in [*words, *odd]:
+            text = k[0] if isinstance(k, tuple) else " " + k if joined else k
+            assert np.frombuffer(mine.memo[k], "<u4").tolist() == whole(text), (path, k)
+        mine.n_bytes = mine.n_bytes + 1  # tokens that don't end where the chunks do
+        assert mine.learn_plain(["again", "and"]) == ["again", "and"] and "again" not in mine.memo
+
+
 ADDED = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>"]
 SPACES = st.lists(st.sampled_from([*" \n\t\r  \x1c\x85abZé1.,'ś", *ADDED]), max_size=30).map("".join)
 BYTE_ENCODER, BYTE_PLAIN = ChunkEncoder(BYTE, True), plain(BYTE)
