@@ -29,19 +29,28 @@ WRITE_OPTIONS = {
 CODECS = {"json": "gzip", "csv": "gzip"}
 #: Bytes of a data file, and the bytes of shuffled rows that make one byte of file, unless properties say otherwise.
 TARGET_BYTES, EXPANSION = 273_741_824, 3.0
+#: Bytes of a value in a row of a sort; of the types that are not here, 40.
+SIZES = dict.fromkeys((T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DateType, T.TimestampType, T.TimestampNTZType), 8) | {T.StringType: 28}
 #: Up to so many files the driver lists itself; more are listed by a Spark job.
 LISTED_HERE = 200
 ADVISED = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
-_advice: dict[str, object] = {"writers": 0, "before": None}
+#: Partitions that a task writes side by side, without sorting its rows by partition; only if it meets more, it sorts the rest.
+OPEN_WRITERS, OPEN_FILES = 32, "spark.sql.maxConcurrentOutputFileWriters"
+#: Bytes of rows, as a sort holds them, that one task sorts at most (about): four such tasks fit in the memory of an executor of 10 GB without spilling.
+SORT_BYTES = 512 << 20
+_advice: dict[str, object] = {"writers": 0, "before": {}}
 _lock = threading.Lock()
 
 
 @contextmanager
 def advised(spark: SparkSession, size: int) -> Iterator[None]:
-    """Adaptive execution splits and joins shuffle partitions to about `size` bytes inside. Writers in other threads of the session share the size of the last."""
+    """Adaptive execution splits and joins shuffle partitions to about `size` bytes inside, and tasks write OPEN_WRITERS partitions (or as many as the session
+    says) side by side. Writers in other threads of the session share the size of the last."""
     with _lock:
         if not _advice["writers"]:
-            _advice["before"] = spark.conf.get(ADVISED, None)
+            _advice["before"] = {name: spark.conf.get(name, None) for name in (ADVISED, OPEN_FILES)}
+            if int(_advice["before"][OPEN_FILES] or 0) <= 0:
+                spark.conf.set(OPEN_FILES, str(OPEN_WRITERS))
         _advice["writers"] += 1
         spark.conf.set(ADVISED, str(size))
     try:
@@ -50,8 +59,15 @@ def advised(spark: SparkSession, size: int) -> Iterator[None]:
         with _lock:
             _advice["writers"] -= 1
             if not _advice["writers"]:
-                before = _advice["before"]
-                spark.conf.unset(ADVISED) if before is None else spark.conf.set(ADVISED, before)
+                for name, before in _advice["before"].items():
+                    spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def sorting_tasks(rows: int, file_bytes: int, schema: T.StructType, properties: dict[str, str]) -> int:
+    """Tasks among which `rows` rows, read from `file_bytes` of files, are sorted, so that each sorts about SORT_BYTES at most."""
+    width = sum(SIZES.get(type(f.dataType), 40) for f in schema) + 40  # with the length, the null bits and the sort's pointers
+    held = max(rows * width, file_bytes * float(properties.get("write.shuffle-expansion", EXPANSION)))
+    return max(1, -(-int(held) // SORT_BYTES))
 
 
 def hidden_columns(spec: list[str], kind: str = "data") -> list[tuple[str, object]]:

@@ -16,6 +16,7 @@ from sluice.operators.predicates import col
 from sluice.plans.cdc import live, merge_into_mirror, mirror_changes
 from sluice.plans.ingest import dedup_partitions
 from sluice.schemas import CHANGELOG, EMPLOYEE, ORDERED_MIRROR
+from sluice.sources import layout
 from sluice.sources.layout import advised
 from sluice.sources.snapshot_table import CommitConflict, SnapshotTable, values_of
 from sluice.streaming.jobs import append_stream, key_condition, merge_ingest, merge_new, start, watermark_ingest
@@ -98,6 +99,20 @@ def test_advice_goes_when_the_last_writer_ends(spark):
     assert spark.conf.get(name) == before
 
 
+def test_partitions_are_written_side_by_side(spark, tmp_path):
+    """A write of bucketed rows doesn't sort them first; the session's own number of writers stays, and a task that meets more partitions loses no row."""
+    for writers, expected in ((None, layout.OPEN_WRITERS), (2, 2)):
+        spark.conf.unset(layout.OPEN_FILES) if writers is None else spark.conf.set(layout.OPEN_FILES, str(writers))
+        before = spark.conf.get(layout.OPEN_FILES)
+        with advised(spark, 1):
+            assert int(spark.conf.get(layout.OPEN_FILES)) == expected
+        t = SnapshotTable.create(spark, str(tmp_path / f"t{expected}"), "id long", ["bucket(64, id)"], {"write.distribution-mode": "hash"})
+        t.append(spark.range(5000))
+        assert spark.conf.get(layout.OPEN_FILES) == before
+        assert len(t.parts()) == 64 and sorted(r.id for r in t.scan().collect()) == list(range(5000))
+    spark.conf.unset(layout.OPEN_FILES)
+
+
 def test_groups_are_bounded():
     part = lambda name, size: {"path": name, "bytes": size}
     sets = [[part("a", 40), part("b", 40), part("c", 40)], [part("d", 10)], [part("e", 15)]]
