@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
-from ..sources.layout import TARGET_BYTES
+from ..sources.layout import TARGET_BYTES, sorting_tasks
 from ..sources.snapshot_table import CommitConflict, SnapshotTable, values_of
 
 log = logging.getLogger(__name__)
@@ -77,7 +77,7 @@ def rewrite_data_files(
     small: float | None = None,
 ) -> DataFrame:
     """Rewrites the parts of partitions that have several as sorted parts with files of about target_bytes, and parts that deletes touch without the
-    deleted rows; the table's rows stay the same.
+    deleted rows; the table's rows stay the same. No task sorts more than about SORT_BYTES of rows, so files of rows that compress well, when sorted, stay smaller.
 
     where: the partitions to look at, by their hidden values. small: only parts count whose files are on average smaller than this share of
     target_bytes. Groups of partitions, about max_commits of them but none beyond max_group_bytes, are
@@ -91,7 +91,10 @@ def rewrite_data_files(
 
     def rewrite(group: list[dict]) -> int:
         spark.sparkContext.setLocalProperty("spark.scheduler.pool", POOL)
-        files = max(1, -(-sum(p["bytes"] for p in group) // target_bytes))
+        size = sum(p["bytes"] for p in group)
+        files = max(1, -(-size // target_bytes))
+        if sort_by:  # a task holds what it sorts
+            files = max(files, sorting_tasks(table.read_parts(group).count(), size, table.schema, table.load()[1].properties))
         return table.added_parts(table.replace(group, table.read_live(group, base), "replace", sort_by, files=files, as_of=base))
 
     before = after = 0

@@ -113,6 +113,19 @@ def test_partitions_are_written_side_by_side(spark, tmp_path):
     spark.conf.unset(layout.OPEN_FILES)
 
 
+def test_a_rewrite_sorts_among_as_many_tasks_as_its_rows_need(spark, tmp_path, monkeypatch):
+    t = SnapshotTable.create(spark, str(tmp_path / "t"), "k long, v long", [])
+    for i in range(2):
+        t.append(spark.range(4000).selectExpr("id * 7919 % 4001 AS k", f"id + {i} AS v"))
+    before = sorted(map(tuple, t.scan().collect()))
+    monkeypatch.setattr(layout, "SORT_BYTES", 100_000)
+    rewrite_data_files(t, ["k"])
+    (part,) = t.parts()
+    assert part["files"] in (4, 5) and sorted(map(tuple, t.scan().collect())) == before  # 8,000 rows of 56 bytes in a file of a few kilobytes
+    spans = t.scan().groupBy(F.col("_metadata.file_path").alias("f")).agg(F.min("k").alias("low"), F.max("k").alias("high")).orderBy("low").collect()
+    assert all(a.high <= b.low for a, b in zip(spans, spans[1:], strict=False))
+
+
 def test_groups_are_bounded():
     part = lambda name, size: {"path": name, "bytes": size}
     sets = [[part("a", 40), part("b", 40), part("c", 40)], [part("d", 10)], [part("e", 15)]]
