@@ -13,6 +13,8 @@ from .tokens import slices
 
 #: Bytes of features that the driver takes to fit a classifier.
 FIT_BYTES = 64 << 20
+#: Bytes of them that the driver's JVM holds at once on their way.
+AT_ONCE = 4 << 20
 
 
 def fold(key: str | Column, folds: int) -> Column:
@@ -47,18 +49,25 @@ def unlabelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, rows:
 def sample_features(
     sample: DataFrame, features: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], columns: str, rows: int, max_bytes: int = FIT_BYTES
 ) -> list[Row]:
-    """The features of the sample, made in one parallel job: the rows of least order, at most `rows` and `max_bytes` of them.
+    """The features of the sample, made in one parallel job: the rows of least order, at most `rows` and `max_bytes` of them, which come to the driver in parts.
 
     features: gives the columns `order`, `label` and `data`, whose bytes count, and any others. Rows of equal order are equal, so any will do.
     """
     made = materialize(sample.mapInArrow(features, columns), "features")
     held = n = 0
+    parts: list[list[int]] = []  # the last order, the number of rows and the bytes of each part
     for r in made.select("order", F.length("data").alias("size")).orderBy("order").limit(rows).collect():
-        held += r["size"]
-        if n and held > max_bytes:
+        if n and held + r["size"] > max_bytes:
             break
+        if not parts or parts[-1][2] + r["size"] > AT_ONCE and r["order"] > parts[-1][0]:
+            parts.append([r["order"], 0, 0])
+        parts[-1] = [r["order"], parts[-1][1] + 1, parts[-1][2] + r["size"]]
+        held += r["size"]
         n += 1
-    found = made.orderBy("order").limit(n).collect()
+    found: list[Row] = []
+    for before, (end, count, _) in zip([None, *parts], parts, strict=False):
+        part = made.where(F.col("order") <= end) if before is None else made.where((F.col("order") > before[0]) & (F.col("order") <= end))
+        found += [Row(**r) for r in part.orderBy("order").limit(count).toArrow().to_pylist()]
     discard(made)
     return found
 

@@ -45,8 +45,8 @@ MINED_VOTERS, VOTER_SUPPORT, VOTER_FAR, MINED_SHARE = 200, 4, 5.0, 0.8
 COVER = 8
 #: Smoothing of a voter's probabilities, what twice the information of an edge has to be for all documents, and rounds in which the tree may change.
 SMOOTH, EDGE, TREE_ROUNDS = 2.0, 10.0, 10
-#: Documents without a label in the label model.
-UNLABELLED = 6_000
+#: Documents without a label in the label model, and documents whose votes are taken as numbers at once.
+UNLABELLED, VOTES_AT_ONCE = 6_000, 1_024
 WORD = re.compile(r"[^\W_]+")
 
 LEXICONS = {
@@ -107,15 +107,27 @@ def pattern_votes(text: str) -> int:
     return bits
 
 
+def in_blocks(votes: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """The votes as numbers, some documents at a time, so that the driver never holds all of them so."""
+    for i in range(0, len(votes), VOTES_AT_ONCE):
+        at = slice(i, min(i + VOTES_AT_ONCE, len(votes)))
+        yield at, votes[at].astype(np.float64)
+
+
 def dependency_tree(votes: np.ndarray, p: np.ndarray) -> np.ndarray:
     """The parent of each voter, -1 for none: a maximum spanning tree of mutual information given the label, without edges that chance explains."""
     n, size = votes.shape
     information = np.zeros((size, size))
-    for w in (1 - p, p):
+    spoken, together = np.zeros((2, size)), np.zeros((2, size, size))
+    for at, block in in_blocks(votes):
+        for y, w in enumerate((1 - p[at], p[at])):
+            spoken[y] += w @ block
+            together[y] += (block.T * w) @ block
+    for y, w in enumerate((1 - p, p)):
         total = w.sum()
-        one = (w @ votes + 0.5) / (total + 1)
+        one = (spoken[y] + 0.5) / (total + 1)
         a, b = one[:, None], one[None, :]
-        both = ((votes.T * w) @ votes + a * b) / (total + 1)
+        both = (together[y] + a * b) / (total + 1)
         for joint, apart in ((both, a * b), (a - both, a * (1 - b)), (b - both, (1 - a) * b), (1 - a - b + both, (1 - a) * (1 - b))):
             joint = np.clip(joint, 1e-9, 1)
             information += total / n * joint * np.log(joint / np.clip(apart, 1e-12, 1))
@@ -140,7 +152,7 @@ def label_model(votes: np.ndarray, start: np.ndarray, known: np.ndarray | None =
     n = len(votes)
     if not votes.shape[1]:
         return start, np.zeros((2, 2, 0)), np.zeros(0, np.int64)
-    rows = np.vstack([votes, known]).astype(np.float64) if known is not None else votes.astype(np.float64)
+    rows = np.vstack([votes, known]) if known is not None else votes
     sure = label.astype(np.float64) if label is not None else np.zeros(0)
     p, parent = np.clip(start, 0.02, 0.98), np.full(votes.shape[1], -1)
     rate = np.zeros((2, 2, votes.shape[1]))
@@ -148,15 +160,23 @@ def label_model(votes: np.ndarray, start: np.ndarray, known: np.ndarray | None =
         every = np.r_[p, sure]
         if i < TREE_ROUNDS:
             parent = dependency_tree(rows, every)
-        above = rows[:, np.maximum(parent, 0)] * (parent >= 0)
-        evidence = []
-        for y, w in enumerate((1 - every, every)):
-            total, spoken, parents, both = w.sum(), w @ rows, w @ above, w @ (rows * above)
-            alone = (spoken + 0.5) / (total + 1)
-            rate[y, 1] = (both + SMOOTH * alone) / (parents + SMOOTH)
-            rate[y, 0] = (spoken - both + SMOOTH * alone) / (total - parents + SMOOTH)
-            chance = np.clip(np.where(above[:n] > 0, rate[y, 1], rate[y, 0]), 1e-6, 1 - 1e-6)
-            evidence.append((rows[:n] * np.log(chance) + (1 - rows[:n]) * np.log1p(-chance)).sum(axis=1))
+        spoken, parents, both = np.zeros((3, 2, votes.shape[1]))
+        for at, block in in_blocks(rows):
+            above = block[:, np.maximum(parent, 0)] * (parent >= 0)
+            for y, w in enumerate((1 - every[at], every[at])):
+                spoken[y] += w @ block
+                parents[y] += w @ above
+                both[y] += w @ (block * above)
+        for y, total in enumerate(((1 - every).sum(), every.sum())):
+            alone = (spoken[y] + 0.5) / (total + 1)
+            rate[y, 1] = (both[y] + SMOOTH * alone) / (parents[y] + SMOOTH)
+            rate[y, 0] = (spoken[y] - both[y] + SMOOTH * alone) / (total - parents[y] + SMOOTH)
+        evidence = np.zeros((2, n))
+        for at, block in in_blocks(rows[:n]):
+            above = block[:, np.maximum(parent, 0)] * (parent >= 0)
+            for y in (0, 1):
+                chance = np.clip(np.where(above > 0, rate[y, 1], rate[y, 0]), 1e-6, 1 - 1e-6)
+                evidence[y, at] = (block * np.log(chance) + (1 - block) * np.log1p(-chance)).sum(axis=1)
         prior = np.clip(p.mean(), 1e-3, 1 - 1e-3)
         new = 1 / (1 + np.exp(-np.clip(evidence[1] - evidence[0] + np.log(prior / (1 - prior)), -50, 50)))
         settled = np.abs(new - p).max(initial=0) < 1e-4
@@ -168,16 +188,19 @@ def label_model(votes: np.ndarray, start: np.ndarray, known: np.ndarray | None =
 
 def z_scores(rows: list[np.ndarray], p: np.ndarray, support: int = SUPPORT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features in `support` rows or more, the share of label 1 among their rows, and its standard errors above the mean."""
-    n, ones = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS)  # a fixed size, whatever the rows hold
-    for r, q in zip(rows, p, strict=True):  # the features of a row are distinct
+    n = np.zeros(BUCKETS, np.int32)  # a fixed size, whatever the rows hold
+    for r in rows:  # the features of a row are distinct
         n[r] += 1
-        ones[r] += q
-    feature = np.flatnonzero(n)
-    n, ones = n[feature], ones[feature]
-    keep = n >= support
-    mean = p.mean()
-    error = np.sqrt(max(mean * (1 - mean), 1e-6) / n[keep])
-    return feature[keep], ones[keep] / n[keep], (ones[keep] / n[keep] - mean) / error
+    feature = np.flatnonzero(n >= support)
+    n, place = n[feature], n
+    place[:] = 0  # for all features that occur too seldom
+    place[feature] = np.arange(1, len(feature) + 1)
+    ones = np.zeros(len(feature) + 1)
+    for r, q in zip(rows, p, strict=True):
+        ones[place[r]] += q
+    ones, mean = ones[1:], p.mean()
+    error = np.sqrt(max(mean * (1 - mean), 1e-6) / n)
+    return feature, ones / n, (ones / n - mean) / error
 
 
 def mine_voters(rows: list[np.ndarray], label: np.ndarray) -> np.ndarray:

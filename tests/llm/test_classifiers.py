@@ -1,10 +1,12 @@
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from sluice.llm import labelled
 from sluice.llm.labelled import fold, labelled_sample, sample_features, unlabelled_sample
 from sluice.llm.quality import NGrams, dual_coordinate_descent, fit_nbsvm, fit_quality, score_quality, shape_of
 from sluice.llm.toxicity import LEXICONS, PATTERNS, Words, bucket, fit_logistic, fit_toxicity, label_model, pattern_votes, score_toxicity
@@ -293,3 +295,26 @@ def test_the_sample_is_bounded_in_rows_and_bytes(spark):
     few = sample_features(sample, features, "order long, label int, data string", 8000, max_bytes=2000)
     assert 1 <= len(few) < 61 and few == every[: len(few)] and sum(len(r.data) for r in few) <= 2000
     assert fit_nbsvm([], np.zeros(0)).bias == 0
+
+
+def test_features_come_to_the_driver_in_parts(spark, monkeypatch):
+    made = spark.range(300).selectExpr("id % 60 AS order", "cast(id % 2 AS int) AS label", "repeat('x', 40) AS data")
+    keep = lambda batches: batches
+    whole = sample_features(made.withColumn("label", F.lit(1)), keep, "order long, label int, data string", 290)
+    sizes = []
+    to_arrow = type(made).toArrow
+    monkeypatch.setattr(labelled, "AT_ONCE", 400)
+    monkeypatch.setattr(type(made), "toArrow", lambda df: sizes.append((t := to_arrow(df)).num_rows) or t)
+    assert sample_features(made.withColumn("label", F.lit(1)), keep, "order long, label int, data string", 290) == whole
+    assert len(whole) == 290 and sum(sizes) == 290 and max(sizes) <= 20  # some ten rows, and what ties with the last
+
+
+def test_label_model_needs_little_memory():
+    rng = np.random.default_rng(1)
+    votes = rng.random((20_000, 120)) < 0.02
+    known, label = votes[:8_000], rng.random(8_000) < 0.1
+    tracemalloc.start()
+    label_model(votes, np.where(votes.any(axis=1), 0.95, 0.03), known, label, rounds=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6  # the votes alone as numbers: 27 MB
